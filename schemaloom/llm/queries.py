@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import decontaminate, line_dedup, sharding
 from .common import table
 
 
@@ -16,9 +16,14 @@ def _documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession,
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_sharding": _documents(sharding.op2_sharding),
         "op4_line_dedup": _documents(line_dedup.op4_line_dedup),
+        "op9_decontamination": lambda spark, sf_dir: decontaminate.op9_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.OP4_SQL}
+    return {
+        "op4_line_dedup": line_dedup.OP4_SQL,
+        "op9_decontamination": decontaminate.OP9_SQL,
+    }
