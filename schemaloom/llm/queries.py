@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, sharding
+from . import decontaminate, line_dedup, secret_scan, sharding
 from .common import table
 
 
@@ -17,6 +17,7 @@ def _documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession,
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": _documents(sharding.op2_sharding),
+        "op3_secret_scan": _documents(secret_scan.op3_secret_scan),
         "op4_line_dedup": _documents(line_dedup.op4_line_dedup),
         "op9_decontamination": lambda spark, sf_dir: decontaminate.op9_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     }
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_secret_scan": secret_scan.OP3_SQL,
         "op4_line_dedup": line_dedup.OP4_SQL,
         "op9_decontamination": decontaminate.OP9_SQL,
     }
