@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, secret_scan, sharding
+from . import decontaminate, line_dedup, packing, secret_scan, sharding
 from .common import table
 
 
@@ -14,8 +14,16 @@ def _documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession,
     return lambda spark, sf_dir: op(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": lambda spark, sf_dir: packing.op1_packing(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")),
         "op2_sharding": _documents(sharding.op2_sharding),
         "op3_secret_scan": _documents(secret_scan.op3_secret_scan),
         "op4_line_dedup": _documents(line_dedup.op4_line_dedup),
