@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, packing, secret_scan, sharding, sstable
+from . import decontaminate, line_dedup, packing, secret_scan, sharding, simhash, sstable
 from .common import table
 
 
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": _documents(sharding.op2_sharding),
         "op3_secret_scan": _documents(secret_scan.op3_secret_scan),
         "op4_line_dedup": _documents(line_dedup.op4_line_dedup),
+        "op7_simhash": _documents(simhash.op7_simhash),
         "op9_decontamination": lambda spark, sf_dir: decontaminate.op9_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op10_token_output": lambda spark, sf_dir: sstable.op10_token_output(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")),
     }
