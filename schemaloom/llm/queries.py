@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, packing, secret_scan, sharding, simhash, sstable, toxicity
+from . import decontaminate, line_dedup, packing, quality, secret_scan, sharding, simhash, sstable, toxicity
 from .common import table
 
 
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": _documents(sharding.op2_sharding),
         "op3_secret_scan": _documents(secret_scan.op3_secret_scan),
         "op4_line_dedup": _documents(line_dedup.op4_line_dedup),
+        "op5_quality_rules": lambda spark, sf_dir: quality.op5_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op6_toxicity": lambda spark, sf_dir: toxicity.op6_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op7_simhash": _documents(simhash.op7_simhash),
         "op9_decontamination": lambda spark, sf_dir: decontaminate.op9_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
