@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, ascii_lower, delete_path, document_key, indexes, let, null_safe_join, workspace, written
+from .common import WS_CHARS, ascii_lower, delete_path, document_key, let, null_safe_join, workspace, written
 
 
 def line_key(line: Column) -> Column:
@@ -91,26 +91,38 @@ class LineRuns:
         return judged
 
 
+def _applied(docs: DataFrame, runs: LineRuns, min_docs: int) -> DataFrame:
+    """``docs`` with all columns and __sl_before and __sl_kept, the lines of the text and those that stay."""
+    probes = _with_lines(docs).select(F.col("doc_id").alias("__sl_id"), F.col("__h").alias("__sl_h"), F.explode(_distinct_keys(F.col("keys"))).alias("line"))
+    staying = probes.join(runs.frequent(min_docs).hint("merge"), "line", "left_anti").groupBy("__sl_id", "__sl_h").agg(F.collect_set("line").alias("__sl_staying"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.withColumns({"__sl_id": F.col("doc_id"), "__sl_h": F.xxhash64(text)})
+    both = null_safe_join(keyed, staying, ["__sl_id", "__sl_h"], "left")
+    both = both.withColumn("__sl_before", F.split(text, "\n", -1)).withColumn("__sl_keys", F.transform("__sl_before", line_key))
+    gone = F.array_except(_distinct_keys(F.col("__sl_keys")), F.coalesce("__sl_staying", F.array().cast("array<string>")))
+
+    def stays(dropped: Column) -> Column:
+        return F.when(F.size(dropped) == 0, F.col("__sl_before")).otherwise(
+            let(F.col("__sl_keys"), lambda keys: F.filter("__sl_before", lambda _, i: ~F.coalesce(F.array_contains(dropped, F.get(keys, i)), F.lit(False))))
+        )
+
+    return both.withColumn("__sl_kept", let(gone, stays)).drop("__sl_id", "__sl_h", "__sl_keys", "__sl_staying")
+
+
 def apply_runs(docs: DataFrame, runs: LineRuns, min_docs: int) -> DataFrame:
     """Each document without the lines whose key the runs hold ``min_docs`` times or more.
 
     Returns doc_id, kept_text, n_lines, n_dropped: one row for each row of ``docs``.
     """
-    lined = _with_lines(docs)
-    probes = lined.select("doc_id", "__h", F.explode(_distinct_keys(F.col("keys"))).alias("line"))
-    staying = probes.join(runs.frequent(min_docs).hint("merge"), "line", "left_anti").groupBy("doc_id", "__h").agg(F.collect_set("line").alias("staying"))
-    both = null_safe_join(lined.select("doc_id", "__h", "text"), staying, ["doc_id", "__h"], "left")
-    none = F.array().cast("array<string>")
-    both = both.withColumn("lines", F.split("text", "\n", -1)).withColumn("keys", F.transform("lines", line_key))
-    gone = F.array_except(_distinct_keys(F.col("keys")), F.coalesce("staying", none))
+    found = _applied(docs.select("doc_id", "text"), runs, min_docs)
+    n_lines = F.size("__sl_before").cast("long")
+    return found.select("doc_id", F.array_join("__sl_kept", "\n").alias("kept_text"), n_lines.alias("n_lines"), (n_lines - F.size("__sl_kept")).alias("n_dropped"))
 
-    def stays(dropped: Column) -> Column:
-        return F.when(F.size(dropped) == 0, F.col("lines")).otherwise(
-            let(F.col("keys"), lambda keys: F.filter("lines", lambda _, i: ~F.coalesce(F.array_contains(dropped, F.get(keys, i)), F.lit(False))))
-        )
 
-    kept = both.select("doc_id", F.size("lines").cast("long").alias("n_lines"), let(gone, stays).alias("kept"))
-    return kept.select("doc_id", F.array_join("kept", "\n").alias("kept_text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"))
+def _runs_of(docs: DataFrame, batches: int, fanout: int) -> LineRuns:
+    runs = LineRuns(docs.sparkSession, fanout=fanout)
+    runs.add(docs, F.pmod(F.xxhash64("doc_id", "__h"), F.lit(batches)), batches)
+    return runs
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 4) -> DataFrame:
@@ -123,10 +135,22 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: i
 
     Returns doc_id, kept_text, n_lines (before), n_dropped.
     """
-    runs = LineRuns(docs.sparkSession, fanout=fanout)
-    part = F.pmod(F.xxhash64("doc_id", "__h"), F.lit(batches))
-    runs.add(docs, part, batches)
-    return apply_runs(docs, runs, min_docs)
+    return apply_runs(docs, _runs_of(docs, batches, fanout), min_docs)
+
+
+def without_common_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 4) -> DataFrame:
+    """The documents with all their columns, without the lines that ``dedup_lines`` drops.
+
+    Every document stays, if with an empty text. A null text stays null. n_chars, where there is
+    such a column, is counted anew for the texts that have changed.
+    """
+    found = _applied(docs, _runs_of(docs, batches, fanout), min_docs)
+    changed = F.size("__sl_kept") < F.size("__sl_before")
+    kept = F.array_join("__sl_kept", "\n")
+    new = {"text": F.when(changed, kept).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.char_length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_line_dedup(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, packing, quality, secret_scan, sharding, simhash, sstable, toxicity
+from . import decontaminate, html_extract, line_dedup, packing, quality, secret_scan, sharding, simhash, sstable, toxicity
 from .common import table
 
 
@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": lambda spark, sf_dir: quality.op5_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op6_toxicity": lambda spark, sf_dir: toxicity.op6_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op7_simhash": _documents(simhash.op7_simhash),
+        "op8_html_extraction": lambda spark, sf_dir: html_extract.op8_html_extraction(table(spark, sf_dir, "pages")),
         "op9_decontamination": lambda spark, sf_dir: decontaminate.op9_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op10_token_output": lambda spark, sf_dir: sstable.op10_token_output(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")),
     }
