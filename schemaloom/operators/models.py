@@ -115,7 +115,8 @@ def _finish(models: DataFrame, rows: DataFrame, fits: Column, ignore: list[str])
     return Models(nodes, properties, valid)
 
 
-_NO_TEXT = F.lit(None).cast("string")
+def _no_text() -> Column:
+    return F.lit(None).cast("string")
 
 
 def parse_simple(models: DataFrame, ignore_endings: list[str] | None = None) -> Models:
@@ -129,7 +130,7 @@ def parse_simple(models: DataFrame, ignore_endings: list[str] | None = None) ->
         _name(F.col("m")).alias("node_name"),
         _field(F.col("m"), "description").alias("node_description"),
         links.alias("links"),
-        _NO_TEXT.alias("node_metadata"),
+        _no_text().alias("node_metadata"),
         _array(_given(F.col("m"), "properties")).alias("list"),
     )
     rows = nodes.select("*", F.posexplode_outer("list").alias("prop_ord", "p")).withColumn("pm", _object(F.col("p")))
@@ -142,8 +143,8 @@ def parse_simple(models: DataFrame, ignore_endings: list[str] | None = None) ->
         _field(F.col("pm"), "description").alias("property_description"),
         type_.alias("property_type"),
         is_list.alias("type_is_list"),
-        _NO_TEXT.alias("property_values"),
-        _NO_TEXT.alias("additional_metadata"),
+        _no_text().alias("property_values"),
+        _no_text().alias("additional_metadata"),
     )
     return _finish(models, rows, listed.isNotNull(), ignore_endings or [])
 
@@ -182,7 +183,7 @@ def parse_dictionary(models: DataFrame, ignore_endings: list[str] | None = None)
         "node_name",
         _given(F.col("m"), "description").alias("node_description"),
         F.when(F.size(direct) > 0, direct).otherwise(F.coalesce(grouped, direct)).alias("links"),
-        _NO_TEXT.alias("node_metadata"),
+        _no_text().alias("node_metadata"),
         _entries(_field(F.col("m"), "properties", "{}")).alias("entries"),
     )
     raw = _exploded(nodes, F.col("entries")).withColumn("pm", _object(F.col("e.value")))
@@ -211,7 +212,7 @@ def parse_dictionary(models: DataFrame, ignore_endings: list[str] | None = None)
         F.when((description == "") & _has(pm, "term"), F.coalesce(_field(term, "description"), F.lit(""))).otherwise(description).alias("property_description"),
         F.when((type_ == "") & _has(pm, "enum"), F.lit("enum")).otherwise(type_).alias("property_type"),
         is_list.alias("type_is_list"),
-        _NO_TEXT.alias("property_values"),
+        _no_text().alias("property_values"),
         F.when(_has(term, "termDef"), F.concat(F.lit('{"cde_info":'), _field(term, "termDef"), F.lit("}"))).alias("additional_metadata"),
     )
     numbered = F.row_number().over(Window.partitionBy("model_id", "node_ord").orderBy(F.col("order").asc_nulls_last())) - 1
@@ -232,7 +233,7 @@ def parse_prefixed(models: DataFrame) -> Models:
         "node_name",
         _field(F.col("m"), "description").alias("node_description"),
         F.coalesce(_link_names(links_raw), F.array().cast(_LIST)).alias("links"),
-        _NO_TEXT.alias("node_metadata"),
+        _no_text().alias("node_metadata"),
         _entries(_field(F.col("m"), "properties", "{}")).alias("entries"),
         (F.col("m").isNull() | _has(_object(links_raw), "subgroup")).alias("broken_node"),
     )
@@ -248,7 +249,7 @@ def parse_prefixed(models: DataFrame) -> Models:
         type_.alias("property_type"),
         is_list.alias("type_is_list"),
         F.when(_has(F.col("pm"), "enum"), _field(F.col("pm"), "enum")).when(_has(F.col("pm"), "values"), _field(F.col("pm"), "values")).alias("property_values"),
-        _NO_TEXT.alias("additional_metadata"),
+        _no_text().alias("additional_metadata"),
     )
     return _finish(models, rows, _object(F.col("json")).isNotNull(), [])
 
@@ -284,7 +285,7 @@ def parse_linked(models: DataFrame, ignore_endings: list[str] | None = None) ->
         _field(F.col("pm"), "description").alias("property_description"),
         type_.alias("property_type"),
         is_list.alias("type_is_list"),
-        _NO_TEXT.alias("property_values"),
+        _no_text().alias("property_values"),
         _without(F.col("pm"), "type", "description").alias("additional_metadata"),
     )
     return _finish(models, rows, _object(defs).isNotNull(), ignore_endings or [])
@@ -296,7 +297,7 @@ def _prefer(models: DataFrame, options: list[tuple[str, Models]]) -> Models:
     united = lambda part: reduce(DataFrame.unionByName, [getattr(o, part).withColumn("__rank", F.lit(ranks[n])) for n, o in options])
     first = united("valid").where("valid").groupBy("model_id").agg(F.min("__rank").alias("__rank"))
     nodes, properties = (united(part).join(first, ["model_id", "__rank"], "left_semi").drop("__rank") for part in ("nodes", "properties"))
-    names = F.element_at(F.array(*[F.lit(n) for n, _ in options]), F.col("__rank") + 1)
+    names = F.coalesce(*[F.when(F.col("__rank") == i, F.lit(n)) for n, i in ranks.items()])
     valid = models.select("model_id").join(first, "model_id", "left").select("model_id", F.col("__rank").isNotNull().alias("valid"), names.alias("chosen"))
     return Models(nodes, properties, valid)
 

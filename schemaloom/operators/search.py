@@ -116,7 +116,9 @@ def _by_hashing(queries: DataFrame, targets: DataFrame, threshold: float | None,
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    unit = lambda d: d.select("id", array_to_vector(l2_normalise(F.col("v"))).alias("unit"))
+    width = targets.select(F.size("v").alias("n")).first()
+    nothing = F.array_repeat(F.lit(0.0), width.n if width else 1)  # Spark may evaluate this before it drops null vectors
+    unit = lambda d: d.select("id", array_to_vector(F.coalesce(l2_normalise(F.col("v")), nothing)).alias("unit"))
     t = unit(targets)
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=1).fit(t)
     furthest = float(np.sqrt(max(0.0, 2 - 2 * (threshold if threshold is not None else -1.0)))) + 1e-9

@@ -41,7 +41,7 @@ def suggest_all(cases: DataFrame, embedder: Embedder | None = None, k: int = 10,
     lines = target.select(F.col("model_id").alias("target_key"), "target_ord", "text", embedded(F.col("text"), embedder).alias("tv"))
     props = source.properties.withColumnRenamed("model_id", "test_id").join(cases.select("test_id", "target_key"), "test_id")
     queries = props.withColumn("salt", F.pmod(F.xxhash64("test_id"), F.lit(SALTS))).withColumn("qv", embedded(F.col("npd"), embedder))
-    salted = lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    salted = lines.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     kept = ["test_id", "node_ord", "prop_ord", "node_name", "property_name", "property_type", "property_description"]
     kinds = {f.name: f.dataType.simpleString() for f in props.schema}
 
