@@ -361,3 +361,17 @@ def as_keyed(models: DataFrame) -> DataFrame:
     named = props.select("model_id", "node_ord", "node_name", "prop_ord", _name(_object(F.col("p"))).alias("name"), "p")
     last = named.groupBy("model_id", "node_ord", "node_name", "name").agg(F.max_by("p", "prop_ord").alias("p"), F.min("prop_ord").alias("at"))
     return last.groupBy("model_id", "node_ord", "node_name").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("at", "name", "p"))), lambda x: F.struct(x["name"], x["p"]))).alias("properties"))
+
+
+def spread_properties(models: DataFrame, most: int = 1000) -> DataFrame:
+    """Properties of simple models with a column for each key that any of them has: model_id, node_ord, prop_ord, node, and the keys.
+
+    The distinct keys are the schema, so there may be at most ``most`` of them.
+    """
+    listed = _array(_last(_object(F.col("json")), "nodes"))
+    each = models.select("model_id", F.posexplode(listed).alias("node_ord", "raw")).withColumn("m", _object(F.col("raw")))
+    props = each.select("model_id", "node_ord", _name(F.col("m")).alias("node"), F.posexplode(_array(_given(F.col("m"), "properties"))).alias("prop_ord", "p")).withColumn("pm", _object(F.col("p")))
+    keys = sorted(r.k for r in props.select(F.explode(F.map_keys("pm")).alias("k")).distinct().limit(most + 1).collect())
+    if len(keys) > most:
+        raise ValueError(f"more than {most} keys")
+    return props.select("model_id", "node_ord", "prop_ord", "node", *[_given(F.col("pm"), k).alias(k if k not in ("model_id", "node_ord", "prop_ord", "node") else f"property_{k}") for k in keys])
