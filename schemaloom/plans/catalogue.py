@@ -348,7 +348,11 @@ def union_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.union_all([a, b])
 
 
-@register()
+@register(
+    """
+SELECT doc_id AS test_id, '{"doc_id":' || doc_id || ', "custom_metrics": {"quality":' || quality || ',"toxic":' || toxic || '}}' AS line FROM labels
+"""
+)
 def append_metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     cases = labels.select(F.col("doc_id").alias("test_id"), F.to_json(F.struct("doc_id")).alias("line"))
@@ -573,7 +577,12 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.hash_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", {"train": 0.8, "validation": 0.1, "test": 0.1})
 
 
-@register()
+@register(
+    """
+WITH t AS (SELECT count(*) AS n FROM documents), c AS (SELECT n, round(n * 40 / 100)::BIGINT AS a, round(n * 70 / 100)::BIGINT AS b FROM t)
+SELECT 0 AS split, a AS n FROM c UNION ALL SELECT 1, b - a FROM c UNION ALL SELECT 2, n - b FROM c
+"""
+)
 def exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("line"))
     return training.split_tallies(training.exact_split(rows, "line", [40, 30, 30], seed=1))
