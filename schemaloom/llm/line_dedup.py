@@ -77,7 +77,7 @@ class LineRuns:
         """(line, n) over all runs; merged in the plan, or read as it is where one run is left."""
         runs = [run for level in self.levels for run in level]
         if not runs:
-            return self.spark.createDataFrame([], "line string, n bigint")
+            return self.spark.range(0).select(F.lit("").alias("line"), F.col("id").alias("n"))
         found = self._read(runs)
         return found if len(runs) == 1 else found.groupBy("line").agg(F.sum("n").alias("n"))
 

@@ -162,7 +162,8 @@ def candidates(keyed: DataFrame, rules: list[Rule]) -> tuple[DataFrame | None, l
         clauses += [(rule.kind, n, len(clause), t) for n, clause in enumerate(sorted(query, key=sorted)) for t in sorted(clause)]
     if not clauses:
         return None, full
-    wanted = keyed.sparkSession.createDataFrame(clauses, "kind string, clause int, needs int, trigram string")  # a few rows for each rule
+    rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("kind", "clause", "needs", "trigram"), c, strict=True)]) for c in clauses])
+    wanted = keyed.sparkSession.range(1).select(F.inline(rows))  # a few rows for each rule
     index = postings(keyed, sorted({c[-1] for c in clauses}))
     met = index.join(F.broadcast(wanted), "trigram").groupBy("doc_id", "__h", "kind", "clause", "needs").agg(F.count_distinct("trigram").alias("n"))
     return met.where(F.col("n") == F.col("needs")).groupBy("doc_id", "__h").agg(F.collect_set("kind").alias("kinds")), full
