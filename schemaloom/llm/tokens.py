@@ -29,11 +29,23 @@ def _whole(text: str) -> list[str]:
 
 
 def _by_space(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split()  # at ASCII white space
+    return text.encode("utf-8", "surrogatepass").lower().split()  # at ASCII white space; the tokenizer lowers letters anyway
+
+
+#: Where none of these occurs, each space begins a part and each line feed is one.
+_NOT_PLAIN = ("\0", "  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
+
+
+_CONTROL_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def _space_before(text: str) -> list[str]:
-    return [text] if _ODD_SPACE.search(text) else _BYTE_PARTS.findall(text)
+    odd = any(x in text for x in _CONTROL_SPACE) if text.isascii() else _ODD_SPACE.search(text)
+    if odd:
+        return [text]
+    if any(x in text for x in _NOT_PLAIN):
+        return _BYTE_PARTS.findall(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
 def _parts_of(config: dict) -> Callable[[str], list]:
