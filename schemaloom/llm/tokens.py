@@ -16,6 +16,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 #: Parts kept by a worker, about 220 bytes each: just under a size at which a dictionary doubles.
 CACHE_PARTS = 1_390_000
+#: Characters (or bytes) of the longest part that is kept.
+LONGEST_PART = 64
 #: Texts encoded together.
 BATCH = 256
 
@@ -34,8 +36,6 @@ def _by_space(text: str) -> list[bytes]:
 
 #: Where none of these occurs, each space begins a part and each line feed is one.
 _NOT_PLAIN = ("\0", "  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
-
-
 _CONTROL_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
@@ -101,9 +101,13 @@ class Encoder:
         seen: set = set()
         for parts in divided:
             seen.update(parts)
+        once: dict = {}  # long parts are not kept, so that the cache is bounded in bytes
         for some in _sliced(list(seen.difference(cache)), 4096):
-            cache.update(self._fill(some))
-        get = cache.__getitem__
+            found = self._fill(some)
+            long = [x for x in some if len(x) > LONGEST_PART]
+            once.update((x, found.pop(x)) for x in long)
+            cache.update(found)
+        get = (lambda x: once[x] if x in once else cache[x]) if once else cache.__getitem__
         return [b"".join(map(get, parts)) for parts in divided]
 
 

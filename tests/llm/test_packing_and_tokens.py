@@ -35,6 +35,13 @@ def test_cached_ids_are_the_tokenizers(both, text):
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == ids(text)
 
 
+def test_long_parts_are_encoded_and_not_kept(both):
+    ids, encoder = both
+    texts = ["word " + "ab" * 500 + " word", "x" * 70, "y" * 64]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [ids(t) for t in texts]
+    assert max(map(len, encoder.cache)) <= 65
+
+
 def test_special_strings_are_ordinary_text(both):
     ids, encoder = both
     for text in ("<|endoftext|>", "a <|startoftext|> b", None, ""):
