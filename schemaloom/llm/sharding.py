@@ -13,9 +13,10 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import workspace, written
@@ -55,14 +56,14 @@ def minimax_cuts(sizes: list[int], shards: int) -> tuple[int, list[int]]:
     return low, _greedy(prefix, shards, low) or [0]
 
 
+def _key() -> Column:
+    """The key of a row's group: its text's hash, and one key for all null texts."""
+    return F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("text"))
+
+
 def _sized(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        "doc_id",
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("text")).alias("key"),
-    )
+    return docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), _key().alias("key"))
 
 
 class _Range(NamedTuple):
@@ -151,6 +152,64 @@ def cut_points(groups: DataFrame, shards: int) -> list[int]:
     return [ranges[c - 1].end for c in cuts if c]
 
 
+@dataclass(frozen=True)
+class Assignment:
+    """Which shard each key has: ``alone`` keys one each, the others by their place in the order and its cuts."""
+
+    alone: dict[int, int]  # key to shard
+    moved: dict[int, int]  # key to a place other than the key itself
+    ends: list[int]  # the last place of each further shard
+
+    def places(self, groups: DataFrame) -> DataFrame:
+        """(key, bytes) of the groups that are not alone, by their places."""
+        rows = groups
+        if self.alone:
+            rows = rows.where(~F.col("key").isin(list(self.alone)))
+        if not self.moved:
+            return rows
+        table = rows.sparkSession.createDataFrame(list(self.moved.items()), "key bigint, moved bigint")
+        return rows.join(F.broadcast(table), "key", "left").select(F.coalesce("moved", "key").alias("key"), "bytes")
+
+    def apply(self, rows: DataFrame, key: str) -> DataFrame:
+        """``rows`` with the column __sl_shard by the column ``key``."""
+        named = [(k, None, i) for k, i in self.alone.items()] + [(k, p, None) for k, p in self.moved.items()]
+        table = rows.sparkSession.createDataFrame(named, "__sl_key bigint, __sl_moved bigint, __sl_alone int")  # at most shards * LARGE rows
+        placed = rows.join(F.broadcast(table), rows[key] == table["__sl_key"], "left")
+        place, first = F.coalesce("__sl_moved", key), len(self.alone)
+        shard = F.lit(first + max(0, len(self.ends) - 1))
+        for i in reversed(range(len(self.ends) - 1)):
+            shard = F.when(place <= F.lit(self.ends[i]), F.lit(first + i)).otherwise(shard)
+        return placed.withColumn("__sl_shard", F.coalesce("__sl_alone", shard).cast("int")).drop("__sl_key", "__sl_moved", "__sl_alone")
+
+
+def assign(sized: DataFrame, shards: int) -> Assignment:
+    """The assignment for rows of (key, size)."""
+    if shards < 1:
+        raise ValueError("shards must be at least 1")
+    groups = sized.groupBy("key").agg(F.sum("size").alias("bytes"))
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    top = groups.orderBy(F.desc("bytes"), "key").limit(shards * LARGE).collect()
+    alone: dict[int, int] = {}
+    rest, left = total, shards
+    for g in top:
+        if left > 1 and g.bytes * left > rest:
+            alone[g.key] = len(alone)
+            rest, left = rest - g.bytes, left - 1
+    loads, put = [0.0] * left, []
+    for g in top:  # largest first, each to the lightest place
+        if g.key not in alone and g.bytes * left * LARGE > rest:
+            k = loads.index(min(loads))
+            loads[k] += g.bytes
+            put.append((g.key, k))
+    free = [max(0.0, rest / left - x) for x in loads]
+    begins = [sum(free[:k]) / (sum(free) or 1) for k in range(left)]
+    moved = {key: min((1 << 63) - 1, int(begins[k] * 2.0**64) - (1 << 63) + n) for n, (key, k) in enumerate(put)}
+    if not rest:
+        return Assignment(alone, moved, [])
+    everywhere = Assignment(alone, moved, []).places(groups)
+    return Assignment(alone, moved, cut_points(everywhere, left))
+
+
 def shard_by_bytes(docs: DataFrame, shards: int = 24) -> DataFrame:
     """Put every row into one of ``shards`` shards of nearly equal bytes; equal texts stay together.
 
@@ -162,49 +221,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24) -> DataFrame:
 
     Returns doc_id, size, text_crc32, shard, slot: slots number a shard's rows from 0.
     """
-    if shards < 1:
-        raise ValueError("shards must be at least 1")
-    spark = docs.sparkSession
-    rows = written(_sized(docs), workspace(spark, "shard-sizes"))  # the texts are read once
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    top = groups.orderBy(F.desc("bytes"), "key").limit(shards * LARGE).collect()
-    heavy: list[int] = []  # keys of groups with a shard each
-    rest, left = total, shards
-    for g in top:
-        if left > 1 and g.bytes * left > rest:
-            heavy.append(g.key)
-            rest, left = rest - g.bytes, left - 1
-    large = [g for g in top if g.key not in set(heavy) and g.bytes * left * LARGE > rest]
-    loads = [0.0] * left
-    for g in large:  # largest first, each to the lightest place
-        k = loads.index(min(loads))
-        loads[k] += g.bytes
-    share = rest / left if left else 0
-    free = [max(0.0, share - x) for x in loads]
-    begins, so_far = [], 0.0
-    for f in free:
-        begins.append(so_far / (sum(free) or 1))
-        so_far += f
-    again, moved = [0.0] * left, []
-    for n, g in enumerate(large):
-        k = again.index(min(again))
-        again[k] += g.bytes
-        moved.append((g.key, min((1 << 63) - 1, int(begins[k] * 2.0**64) - (1 << 63) + n)))
-    heavy_of = {k: i for i, k in enumerate(heavy)}
-    placed = rows.withColumn("place", F.col("key"))
-    named = [(k, None, i) for k, i in heavy_of.items()] + [(k, p, None) for k, p in moved]
-    if named:  # at most shards * LARGE rows
-        where = spark.createDataFrame(named, "key bigint, moved bigint, alone int")
-        placed = rows.join(F.broadcast(where), "key", "left").withColumn("place", F.coalesce("moved", "key"))
-    else:
-        placed = placed.withColumn("alone", F.lit(None).cast("int"))
-    common = placed.where(F.col("alone").isNull()).groupBy(F.col("place").alias("key")).agg(F.sum("size").alias("bytes"))
-    ends = cut_points(common, left) if rest else []
-    shard = F.lit(len(heavy) + max(0, len(ends) - 1))
-    for i in reversed(range(len(ends) - 1)):
-        shard = F.when(F.col("place") <= F.lit(ends[i]), F.lit(len(heavy) + i)).otherwise(shard)
-    placed = placed.withColumn("shard", F.coalesce("alone", shard).cast("int"))
+    rows = written(_sized(docs), workspace(docs.sparkSession, "shard-sizes"))  # the texts are read once
+    placed = assign(rows, shards).apply(rows, "key").withColumnRenamed("__sl_shard", "shard")
     return _with_slots(placed.select("doc_id", "size", "text_crc32", "shard"), rows)
 
 
@@ -221,10 +239,9 @@ def _with_slots(placed: DataFrame, rows: DataFrame) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24) -> None:
     """Write the documents with all their columns as Parquet folders shard=0, shard=1, ..."""
-    keyed = docs.withColumn("__sl_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    where = shard_by_bytes(docs, shards).select(F.col("doc_id").alias("__sl_id"), F.col("text_crc32").alias("__sl_crc2"), "shard").distinct()
-    same = keyed["doc_id"].eqNullSafe(where["__sl_id"]) & (keyed["__sl_crc"] == where["__sl_crc2"])
-    keyed.join(where, same).drop("__sl_id", "__sl_crc", "__sl_crc2").write.partitionBy("shard").parquet(path)
+    rows = written(_sized(docs).select("key", "size"), workspace(docs.sparkSession, "shard-sizes"))
+    placed = assign(rows, shards).apply(docs.withColumn("__sl_own", _key()), "__sl_own")
+    placed.drop("__sl_own").withColumnRenamed("__sl_shard", "shard").write.partitionBy("shard").parquet(path)
 
 
 def op2_sharding(docs: DataFrame, shards: int = 24) -> DataFrame:
