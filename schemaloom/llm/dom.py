@@ -15,6 +15,8 @@ BLOCK = frozenset(
     h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul
     """.split()
 )
+#: Start tags that may stand in a head; any other one ends it, as text does. Its end tag may be left out.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CONTROLS = frozenset("input button select textarea label option".split())
 #: A start tag on the left closes an open element of the second set, looked for up to one of the third.
 CLOSES = {
@@ -93,10 +95,21 @@ def parse(source: str | None) -> Page:
         del stack[i:]
         node = next(own for _, own in reversed(stack) if own >= 0)
 
+    def close_head() -> None:
+        """Close an open head with what is left open in it; a template's content is not the page's."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i][0] == "template":
+                break
+            if stack[i][0] == "head":
+                close_to(i)
+                break
+
     at = 0
     while True:
         found = TAG.search(source, at)
         text = source[at : found.start() if found else len(source)]
+        if dropped and stack[-1][0] == "head" and text.strip():
+            close_to(len(stack) - 1)
         if text and not dropped:
             pieces.append(text)
             if links:
@@ -117,6 +130,8 @@ def parse(source: str | None) -> Page:
                 if stack[i][1] >= 0 and name not in BLOCK and name not in DROPPED:
                     break  # an inline element ends within its block
             continue
+        if dropped and stack[-1][0] == "head" and name not in IN_HEAD:
+            close_to(len(stack) - 1)
         if name in CONTROLS:
             page.controls[node] += 1
         if name == "br" or name == "img":
@@ -124,8 +139,12 @@ def parse(source: str | None) -> Page:
                 pieces.append(" ")
             continue
         if name in ("html", "body"):
+            if dropped and name == "body":
+                close_head()
             end_block()
             continue
+        if name == "head" and dropped and any(x[0] == "head" for x in stack):
+            continue
         if name in BLOCK:
             end_block()
             if page.tag[node] == "p":

@@ -36,6 +36,26 @@ def test_blocks(source, want):
     assert blocks(source) == want
 
 
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<html><head><title>t</title><body><article><p>a<p>b</article>", ["a", "b"]),
+        ("<html><head><title>t</title><meta charset=x><link rel=y><style>s</style><article><p>a</article>", ["a"]),
+        ("<head><title>t</title>\n text <b>c</b>", ["text c"]),
+        ("<head><title>t</title><a href=x>l</a> m", ["l m"]),
+        ("<head><script>s</script><img src=x>a<br>b", ["a b"]),
+        ("<head><head><title>t</title></head><p>a", ["a"]),
+        ("<head><noscript><img src=x>n</noscript><template><p>u</p></template><title>t</title><p>a", ["a"]),
+        ("<head><noscript><style>s</style><body>a", ["a"]),
+        ("<head><template><body><p>u</template><p>a", ["a"]),
+        ("<head><title>t</title><p>a</head>b<p>c", ["ab", "c"]),
+        ("<head>\n<title>t</title>\n</head>\n<p>a", ["a"]),
+    ],
+)
+def test_a_head_ends_without_its_end_tag(source, want):
+    assert blocks(source) == want
+
+
 def test_deep_and_broken_pages_are_read():
     assert blocks("<div>" * 3000 + "x" + "</div>" * 10) == ["x"]
     rng = np.random.default_rng(0)
@@ -86,6 +106,12 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title></head><body><nav><ul><li><
 <aside class="sidebar"><h3>Related</h3><ul><li><a href="/x">Another story</a></li></ul></aside><footer>&copy; somebody</footer></body></html>"""
 
 
+def test_a_page_without_end_of_head_has_its_text():
+    whole, body = H.main_texts([PAGE, PAGE.replace("</head>", "")], H.trained())
+    assert body == whole != ""
+    assert H.main_texts([PAGE.replace("</head><body>", "")], H.trained()) == [whole]
+
+
 def test_query(spark):
     rows = [(1, "u", PAGE, "old", 1), (2, None, None, None, None), (3, "v", "", "", 2), (3, "v", "", "", 2), (None, "w", PAGE, "x", 3), (5, "z", "no tags at all", None, 4)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars bigint")
