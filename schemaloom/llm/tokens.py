@@ -30,8 +30,16 @@ def _whole(text: str) -> list[str]:
     return [text] if text else []
 
 
+#: First bytes of characters from U+0300 on, where combining marks begin.
+_FROM_MARKS = bytes(range(0xCC, 0x100))
+
+
 def _by_space(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()  # at ASCII white space; the tokenizer lowers letters anyway
+    data = text.encode("utf-8", "surrogatepass")
+    # the tokenizer composes and then lowers letters: lowering first is the same only where nothing composes
+    if data.isascii() or len(data.translate(None, _FROM_MARKS)) == len(data):
+        return data.lower().split()  # at ASCII white space
+    return [x.lower() if x.isascii() else x for x in data.split()]
 
 
 #: Where none of these occurs, each space begins a part and each line feed is one.

@@ -35,6 +35,19 @@ def test_cached_ids_are_the_tokenizers(both, text):
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == ids(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from(" \nHJTWYAhwİſÅK\u0301\u0304\u0307\u0308\u030a\u030c\u0331\u0344\u0338é’<"), max_size=30))
+def test_letters_compose_before_they_are_lowered(both, text):
+    ids, encoder = both
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == ids(text)
+
+
+@pytest.mark.parametrize("text", ["H\u0331ayr", "J\u030c", "T\u0308", "T\u0344", "W\u030a", "Y\u030a x", "A HOUSE H\u0331 House"])
+def test_decomposed_capitals(both, text):
+    ids, encoder = both
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == ids(text)
+
+
 def test_long_parts_are_encoded_and_not_kept(both):
     ids, encoder = both
     texts = ["word " + "ab" * 500 + " word", "x" * 70, "y" * 64]
