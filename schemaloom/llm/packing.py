@@ -106,7 +106,7 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Se
     return segments, sequence
 
 
-def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
+def _pieces(path: str, capacity: int, end_id: int, with_ids: bool, special_strings: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches) -> Iterator:
@@ -120,7 +120,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
             columns = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-        for doc_id, ids in encoded_rows(batches, path):
+        for doc_id, ids in encoded_rows(batches, path, special_strings):
             ids += end
             for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                 own = ids[at : at + 4 * capacity]
@@ -170,11 +170,14 @@ def placed(pieces: DataFrame, segments: list[Segment]) -> DataFrame:
     return rows.mapInArrow(locate, ", ".join([*fields, "sequence_id bigint", "offset bigint"]))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, special_strings: bool = False
+) -> DataFrame:
     """Pack every document, whole, into as few sequences of at most ``capacity`` tokens as best-two-fit can.
 
     A document's ids are those of its text by the tokenizer file, without special tokens, and then
-    ``end_id``; a null or empty text has that id only. Only documents of more than ``capacity``
+    ``end_id``; a null or empty text has that id only. Strings of special tokens are ordinary text,
+    or those tokens with ``special_strings``. Only documents of more than ``capacity``
     ids are cut, into pieces of that many. Repeated rows and doc_ids are documents like others; a
     null doc_id stays null. Other columns are not read. An empty table gives no rows.
 
@@ -183,7 +186,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     """
     spark = docs.sparkSession
     schema = _PIECES + (", ids binary" if with_ids else "")
-    cut = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), schema)
+    cut = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids, special_strings), schema)
     pieces = written(cut, workspace(spark, "pieces"))  # the texts are encoded once
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     segments, _ = plan_bins(counts, capacity)
@@ -198,6 +201,6 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op1_packing(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """The contract's columns of ``pack_documents``."""
-    packed = pack_documents(docs, tokenizer)
+    """The contract's columns of ``pack_documents``, with the ids of the library's plain call."""
+    packed = pack_documents(docs, tokenizer, special_strings=True)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -203,11 +203,12 @@ def open_shard(path: str) -> Reader:
 _MANIFEST = "shard int, path string, documents bigint, ids bigint, first bigint, last bigint, nulls boolean"
 
 
-def write_table(docs: DataFrame, tokenizer: str, path: str, shards: int | None = None, end_id: int = END_ID) -> DataFrame:
+def write_table(docs: DataFrame, tokenizer: str, path: str, shards: int | None = None, end_id: int = END_ID, special_strings: bool = False) -> DataFrame:
     """Encode every text, append ``end_id`` and write all documents in ascending doc_id as shards under ``path``.
 
     Documents of one doc_id lie next to each other, ordered by their text's hash. Null and empty
-    texts have the end id only; a null doc_id comes first. Returns the manifest, one row for each
+    texts have the end id only; a null doc_id comes first. Strings of special tokens are ordinary
+    text, or those tokens with ``special_strings``. Returns the manifest, one row for each
     shard that has documents, which is also written as ``path``/manifest.
     """
 
@@ -216,7 +217,7 @@ def write_table(docs: DataFrame, tokenizer: str, path: str, shards: int | None =
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
-        rows = encoded_rows(batches, tokenizer)
+        rows = encoded_rows(batches, tokenizer, special_strings)
         head = next(rows, None)
         if head is None:
             return
@@ -286,5 +287,5 @@ def lookup(spark: SparkSession, manifest: DataFrame, doc_id: int | None) -> list
 
 
 def op10_token_output(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """The contract's columns, read back from the files that ``write_table`` has written."""
-    return read_table(write_table(docs, tokenizer, workspace(docs.sparkSession, "sst")))
+    """The contract's columns, read back from the files that ``write_table`` has written with the ids of the library's plain call."""
+    return read_table(write_table(docs, tokenizer, workspace(docs.sparkSession, "sst"), special_strings=True))

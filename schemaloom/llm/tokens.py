@@ -71,6 +71,38 @@ def _parts_of(config: dict) -> Callable[[str], list]:
     return _whole
 
 
+def _strings_of(config: dict) -> list[str]:
+    """The strings of the file's added tokens, long ones first: of two at one place the longer is found."""
+    return sorted((x["content"] for x in config.get("added_tokens") or []), key=len, reverse=True)
+
+
+def _plain_strings(config: dict) -> bool:
+    """Whether added tokens are found in texts as they are, within one part, and take nothing beside them."""
+    odd = ("single_word", "lstrip", "rstrip", "normalized")
+    return not any(x["content"] != "".join(x["content"].split()) or any(x.get(k) for k in odd) for x in config.get("added_tokens") or [])
+
+
+def _around(divide: Callable[[str], list], strings: list[str]) -> Callable[[str], list]:
+    """``divide`` for a tokenizer that finds these strings first and reads what lies between them each for itself."""
+    between = re.compile("(" + "|".join(map(re.escape, strings)) + ")")
+    if divide is _by_space:
+        lowered = [x.lower().encode() for x in strings]  # lowering would make or spoil such a string
+
+        def by_space(text: str) -> list[bytes]:
+            small = text.encode("utf-8", "surrogatepass").lower()
+            return text.encode("utf-8", "surrogatepass").split() if any(x in small for x in lowered) else _by_space(text)
+
+        return by_space
+
+    def space_before(text: str) -> list[str]:
+        if not any(x in text for x in strings):
+            return divide(text)
+        # white space at the end of what lies before such a string stays together, as at the end of a text
+        return [part for i, x in enumerate(between.split(text)) if x for part in ([x] if i % 2 else divide(x))]
+
+    return space_before
+
+
 def _packed(ids: list[int]) -> bytes:
     own = array("I", ids)
     if sys.byteorder == "big":
@@ -79,15 +111,22 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class Encoder:
-    """Whole texts to little-endian unsigned 32-bit ids, without special tokens; special strings are ordinary text."""
+    """Whole texts to little-endian unsigned 32-bit ids, without added special tokens.
+
+    A special token's string in a text is ordinary text, or, with ``special_strings``, that token,
+    as the library has it by default.
+    """
 
-    def __init__(self, path: str, cache_parts: int = CACHE_PARTS):
+    def __init__(self, path: str, cache_parts: int = CACHE_PARTS, special_strings: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special_strings
         with open(path, encoding="utf-8") as f:
-            self.parts = _parts_of(json.load(f))
+            config = json.load(f)
+        self.parts = _parts_of(config)
+        if special_strings and self.parts is not _whole and (strings := _strings_of(config)):
+            self.parts = _around(self.parts, strings) if _plain_strings(config) else _whole
         self.cache: dict[str | bytes, bytes] = {}
         self.most = cache_parts
 
@@ -124,21 +163,22 @@ def _sliced(items: list, n: int) -> Iterator[list]:
         yield items[i : i + n]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_strings: bool = False) -> Encoder:
     """This process's encoder for a tokenizer file; workers live longer than tasks, and so does its cache."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _ENCODERS:
+    key = (path, special_strings)
+    if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[key] = Encoder(path, special_strings=special_strings)
+    return _ENCODERS[key]
 
 
-def encoded_rows(batches, path: str) -> Iterator[tuple]:
+def encoded_rows(batches, path: str, special_strings: bool = False) -> Iterator[tuple]:
     """(doc_id, ids as bytes) of Arrow batches with doc_id and text, in order, a few texts at a time."""
-    own = encoder(path)
+    own = encoder(path, special_strings)
     for batch in batches:
         for at in range(0, batch.num_rows, BATCH):
             some = batch.slice(at, BATCH)

@@ -61,6 +61,49 @@ def test_special_strings_are_ordinary_text(both):
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == ids(text)
 
 
+def plain_call(path):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    return lambda text: own.encode(text or "", add_special_tokens=False).ids
+
+
+SPECIAL = [
+    *("a<|endoftext|>b", "a\n\n<|endoftext|>\n\nb", "a  <|endoftext|>  b", " <|startoftext|><|endoftext|> ", "<|ENDOFTEXT|> <|EndOfText|>"),
+    *("A <|endoftext|>H\u0331", "<|endoftext|>\u0338 é", "a\xa0<|endoftext|>", "\0<|endoftext|>"),
+]
+
+
+@pytest.fixture(scope="module", params=[WORD, BYTE])
+def plain(request):
+    return plain_call(request.param), Encoder(request.param, cache_parts=500, special_strings=True)
+
+
+@pytest.mark.parametrize("text", SPECIAL)
+def test_special_strings_are_tokens_in_the_plain_call(plain, text):
+    ids, encoder = plain
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == ids(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"<|endoftext|>,<|startoftext|>,<|ENDOFTEXT|>,<|end,|>,a,B,'s,é,H\u0331,\u0338,1,!".split(","), *"  \n\t\0\x1c\xa0", "  ", "\n\n"]), max_size=14))
+def test_the_plain_calls_ids_around_special_strings(plain, pieces):
+    ids, encoder = plain
+    text = "".join(pieces)
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == ids(text)
+
+
+def test_queries_have_the_plain_calls_ids(spark):
+    docs = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id bigint, text string")
+    for rows, path, end, n in ((P.op1_packing(docs, WORD), WORD, 1, "length"), (T.op10_token_output(docs, BYTE), BYTE, 0, "n_tokens")):
+        ids, start = plain_call(path), 0
+        for r in rows.orderBy("doc_id").collect():
+            own = [*ids(SPECIAL[r.doc_id]), end]
+            assert (r[n], r.ids_crc32) == (len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+            assert n == "length" or r.start == start
+            start += len(own)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=25))
 def test_plan_places_every_document_once_and_gaplessly(counts):
