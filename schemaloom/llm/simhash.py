@@ -177,18 +177,22 @@ def links(distinct: DataFrame, bits: int = MOST_BITS) -> DataFrame:
 
 
 def components(edges: DataFrame, path: str) -> DataFrame:
-    """(fp, label) of every fingerprint that has a link, by repeated contraction.
+    """(fp, label) of every fingerprint that has a link, by randomised contraction; label is one of its component's.
 
-    In each round a node goes to the smallest of itself and its neighbours, and links are carried
-    over to where their ends went; rounds end when no link is left. Each round is written under
-    ``path``, a shared folder.
+    In each round nodes are ordered by a new hash, a node goes to the first of itself and its
+    neighbours, and links are carried over to where their ends went; rounds end when no link is
+    left. A round leaves three quarters of the nodes at most, on average and whatever the links
+    are, so the rounds grow with the logarithm of the nodes. Each is written under ``path``, a
+    shared folder.
     """
     edges = written(edges, f"{path}/links-0")
     labels, n = None, 0
     while not edges.isEmpty():
         n += 1
+        placed = lambda c: F.struct(F.xxhash64(F.lit(n), c).alias("at"), F.col(c).alias("to"))  # noqa: B023, E731
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        goes = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("to")), f"{path}/to-{n}")
+        first = both.groupBy(F.col("a").alias("node")).agg(F.min(placed("b")).alias("near"))
+        goes = written(first.select("node", F.least(placed("node"), F.col("near"))["to"].alias("to")), f"{path}/to-{n}")
         a, b = goes.select(F.col("node").alias("a"), F.col("to").alias("ta")), goes.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         carried = edges.join(a, "a").join(b, "b").where(F.col("ta") != F.col("tb"))
         edges = written(carried.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), f"{path}/links-{n}")
@@ -201,11 +205,12 @@ def components(edges: DataFrame, path: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bits: int = MOST_BITS, words: int = SHINGLE_WORDS) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, h (the text's hash), fp (signed), component_id.
+    """One row for each row of ``docs``: doc_id, h (the text's hash), fp (signed), label, component_id.
 
-    Fingerprints link at ``bits`` (3 at most) or fewer differing bits; component_id is the smallest
-    doc_id among all documents that links reach. Texts without words (null, empty) have
-    fingerprint 0, which links like any other. Repeated rows are documents like others; a null
+    Fingerprints link at ``bits`` (3 at most) or fewer differing bits; label is a fingerprint of
+    the component, and component_id the smallest doc_id among all documents that links reach, which
+    two components may share where doc_ids repeat or are null. Texts without words (null, empty)
+    have fingerprint 0, which links like any other. Repeated rows are documents like others; a null
     doc_id never is the smallest unless there are null ones only. Other columns are not read. An
     empty table gives no rows.
     """
@@ -217,8 +222,8 @@ def near_duplicates(docs: DataFrame, bits: int = MOST_BITS, words: int = SHINGLE
     labels = components(links(own.select("fp").distinct(), bits), path)
     labelled = first.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     component = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    ids = written(labelled.join(component, "label").select("fp", "component_id"), f"{path}/components")
-    return own.join(ids, "fp").select("doc_id", "h", "fp", "component_id")
+    ids = written(labelled.join(component, "label").select("fp", "label", "component_id"), f"{path}/components")
+    return own.join(ids, "fp").select("doc_id", "h", "fp", "label", "component_id")
 
 
 def keep_one_each(docs: DataFrame, bits: int = MOST_BITS, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -226,12 +231,13 @@ def keep_one_each(docs: DataFrame, bits: int = MOST_BITS, words: int = SHINGLE_W
 
     Where several rows of it have that doc_id, the one with the smallest fingerprint and text hash
     stays; of rows that are equal in these, any one. So it is for a component without any doc_id.
+    Components are told apart by their fingerprints, so repeated or null doc_ids join none.
     """
     path = workspace(docs.sparkSession, "kept")
     firsts = near_duplicates(docs, bits, words).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    smallest = firsts.groupBy("component_id", "fp", "h").agg(F.count(F.lit(1)).alias("n"))
-    smallest = smallest.groupBy("component_id").agg(F.min_by(F.struct("h", "n"), F.struct("fp", "h")).alias("x"))
-    chosen = written(smallest.select(F.col("component_id").alias("__sl_id"), F.col("x.h").alias("__sl_h"), F.col("x.n").alias("__sl_n")), path)
+    counted = firsts.groupBy("label", "doc_id", "fp", "h").agg(F.count(F.lit(1)).alias("n"))
+    smallest = counted.groupBy("label").agg(F.min_by(F.struct("doc_id", "h", "n"), F.struct("fp", "h")).alias("x"))
+    chosen = written(smallest.select(F.col("x.doc_id").alias("__sl_id"), F.col("x.h").alias("__sl_h"), F.col("x.n").alias("__sl_n")), path)
     keyed = docs.withColumns({"__sl_id": F.col("doc_id").cast("long"), "__sl_h": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
 
     def rows_of(these: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from schemaloom.llm import simhash as S
 from schemaloom.llm.common import workspace
@@ -93,6 +94,25 @@ def test_chain_of_links_is_one_component(spark):
     assert len({r.label for r in S.components(edges, workspace(spark, "chain")).collect()}) == 1
 
 
+@pytest.mark.parametrize("n, most", [(50, 24), (2000, 50)])
+def test_rounds_are_logarithmic_on_an_ascending_chain(spark, monkeypatch, n, most):
+    rounds = []
+    plain = S.written
+    monkeypatch.setattr(S, "written", lambda df, path: rounds.append(path) or plain(df, path))
+    chain = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    rows = S.components(chain, workspace(spark, "long-chain")).collect()
+    assert len(rows) == n + 1 and len({r.label for r in rows}) == 1
+    assert sum("/to-" in p for p in rounds) <= most
+
+
+def test_components_that_share_a_doc_id_or_have_none_all_keep_one(spark):
+    texts = ["alpha beta gamma delta one", "some wholly other words stand here", "third text of its own kind entirely"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (5, texts[2]), (5, "and yet one more that shares the id five"), (6, texts[2])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted((str(r.doc_id), r.text) for r in S.keep_one_each(docs).collect())
+    assert kept == sorted({(str(d), t) for d, t in rows if d != 6})
+
+
 def test_empty_table(no_docs):
     assert S.op7_simhash(no_docs).collect() == []
     assert S.keep_one_each(no_docs).collect() == []
