@@ -4,10 +4,17 @@ Two multinomials over hashed n-grams (single tokens and pairs of neighbours) are
 trusted documents, and of all documents. A text's value is the mean, over its n-grams, of the
 logarithm of the two probabilities' ratio, so that its length does not matter; every text with a
 value under one fixed threshold is rejected.
+
+The verdict smooths the trusted multinomial by the raw one, with the weight of as many n-grams as
+the trusted documents have. An n-gram as frequent there as everywhere then has the ratio 0 and one
+that no trusted document holds log(1/2), however large either corpus is, and the threshold is a
+share of the latter.
 """
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +23,12 @@ from .common import WS_CLASS, indexes, let
 #: Hash space of the n-grams: the size of both multinomials, whatever the corpus.
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
-#: Mean log-likelihood ratio per n-gram below which a text is rejected.
-THRESHOLD = -0.25
-#: Trusted identifiers (8 bytes each) that may be broadcast; beyond that the join is shuffled.
-MAX_BROADCAST = 2_000_000
+#: Weight of the raw multinomial in the trusted one, in parts of the trusted documents' n-grams.
+PRIOR = 1.0
+#: Mean log-likelihood ratio per n-gram below which a text is rejected: 18 % of what an n-gram unknown to the trusted documents has.
+THRESHOLD = 0.18 * log(PRIOR / (1 + PRIOR))
+#: Trusted identifiers that may be broadcast, about 64 bytes each in the join's table (32 MB); beyond that the join is shuffled.
+MAX_BROADCAST = 500_000
 #: Tokens: runs of letters and digits, and runs of other visible characters.
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 # Fixed values of the rules.
@@ -82,11 +91,13 @@ def _bucket(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
+def log_ratios(docs: DataFrame, trusted: DataFrame, prior: float | None = None) -> list[float]:
     """The logarithm of trusted to raw probability of each bucket, from all documents.
 
     ``trusted`` holds doc_id; every document of such an identifier counts as trusted. Without
-    trusted documents all ratios are 0.
+    ``prior`` both counts are smoothed by SMOOTHING; with it the trusted multinomial is mixed with
+    ``prior`` parts of the raw one, and a bucket without n-grams has the ratio 0. Without trusted
+    documents all ratios are 0.
     """
     ids = trusted.select(F.col("doc_id").alias("__t")).where(F.col("__t").isNotNull()).distinct()
     if ids.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
@@ -99,8 +110,12 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     known = every.join(counts, "bucket", "left").select("bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("raw", "own")])
     everything = Window.partitionBy()  # BUCKETS rows at any size
-    probability = {c: (F.col(c) + SMOOTHING) / (F.sum(c).over(everything) + SMOOTHING * BUCKETS) for c in ("raw", "own")}
-    ratio = F.when(F.sum("own").over(everything) > 0, F.log(probability["own"] / probability["raw"])).otherwise(F.lit(0.0))
+    totals = {c: F.sum(c).over(everything) for c in ("raw", "own")}
+    if prior is None:
+        odds = ((F.col("own") + SMOOTHING) / (totals["own"] + SMOOTHING * BUCKETS)) / ((F.col("raw") + SMOOTHING) / (totals["raw"] + SMOOTHING * BUCKETS))
+    else:
+        odds = (F.coalesce(F.try_divide(F.col("own").cast("double") * totals["raw"], F.col("raw").cast("double") * totals["own"]), F.lit(1.0)) + prior) / (1 + prior)
+    ratio = F.when(totals["own"] > 0, F.log(odds)).otherwise(F.lit(0.0))
     return [r["ratio"] for r in known.select("bucket", ratio.alias("ratio")).orderBy("bucket").collect()]
 
 
@@ -125,7 +140,7 @@ def judged(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     Null texts have no words, and a text of under 50 words fails by rule. Repeated rows are judged
     each for itself. Other columns are not read. An empty table gives no rows.
     """
-    ratios = log_ratios(docs, trusted)
+    ratios = log_ratios(docs, trusted, PRIOR)
     found = rules(docs).withColumn("llr", llr(F.col("text"), ratios))
     return found.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 

@@ -57,6 +57,39 @@ def test_ratios_equal_brute_force(spark):
         assert got[b] == pytest.approx(math.log((own[b] + 1) / o * r / (raw[b] + 1)))
 
 
+def test_verdicts_equal_brute_force(spark, docs, corpus, labels):
+    trusted = {d for d, _ in corpus if d is not None and d % 2 == 0}
+    grams = [[*((x,) for x in w), *zip(w, w[1:])] for w in (re.findall(r"[^\W_]+|[^\w\s]+|_+", t or "") for _, t in corpus)]
+    from pyspark.sql import functions as F
+
+    distinct = sorted({g for own in grams for g in own})
+    rows = spark.createDataFrame([(g[0], g[1] if len(g) > 1 else None) for g in distinct], "a string, b string")
+    bucket = F.when(F.col("b").isNull(), Q._bucket("a")).otherwise(Q._bucket("a", "b"))
+    buckets = {(r.a, r.b) if r.b is not None else (r.a,): r.n for r in rows.select("a", "b", bucket.alias("n")).collect()}
+    raw, own = Counter(), Counter()
+    for (d, _), g in zip(corpus, grams):
+        raw.update(buckets[x] for x in g)
+        own.update(buckets[x] for x in g if d in trusted)
+    r, o = sum(raw.values()), sum(own.values())
+    ratio = {b: math.log((own[b] * r / raw[b] / o + 1) / 2) for b in raw}
+    got = sorted(((str(x.doc_id), x.n_words, x.word_chars, x.llr, x.kept) for x in Q.judged(docs, labels.where("quality = 1")).collect()))
+    want = []
+    for (d, t), g in zip(corpus, grams):
+        value, rules = sum(ratio[buckets[x]] for x in g) / max(1, len(g)), brute(t)
+        want.append((str(d), rules[0], rules[1], value, not rules[-1] and value >= 0.18 * math.log(0.5)))
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=1e-5) and (a[4] == b[4] or abs(b[3] - Q.THRESHOLD) < 1e-5)
+
+
+def test_unknown_grams_have_one_ratio_at_any_size(spark):
+    trusted = spark.createDataFrame([(1,)], "doc_id bigint")
+    for n in (1, 50):
+        rows = [(1, "known words here " * n), (2, "foreign stuff " * n)]
+        ratios = Q.log_ratios(spark.createDataFrame(rows, "doc_id bigint, text string"), trusted, 1.0)
+        assert ratios[xxhash_bucket(spark, "foreign")] == pytest.approx(math.log(0.5)) and ratios[xxhash_bucket(spark, "known")] > 0.2
+        assert ratios[xxhash_bucket(spark, "neither")] == 0.0
+
+
 def test_shuffled_join_and_missing_labels(spark, docs, labels, monkeypatch):
     one = Q.log_ratios(docs, labels)
     monkeypatch.setattr(Q, "MAX_BROADCAST", 0)
