@@ -1,17 +1,25 @@
 """Removal of lines that many documents share: levelled sorted runs of line hashes.
 
-A run is a Parquet folder of (line, n): a line's hash and the number of documents of the run that
-hold it, sorted by hash within each file. New batches enter at level 0; when a level holds
-``fanout`` runs they are merged into one run of the next level. A batch is anti-joined with the
-runs, by a sort-merge join on the hash, to find which of its lines stay.
+A run holds (line, n): a line's hash and the number of documents in which the run counts it, in
+buckets by hash and sorted by hash within each. Every batch is merge-anti-joined with the lines
+that the runs know as frequent already, and the rest of its lines is added as a run of level 0;
+when a level holds ``fanout`` runs they are merged, two at a time, into one run of the next level.
+Runs have the same buckets, so a merge is a full outer sort-merge join of two runs that shuffles
+nothing.
+
+The store's folder has a manifest of its levels, by which it is opened again. At the end every
+document loses the lines that all runs together know as frequent.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, ascii_lower, delete_path, document_key, let, null_safe_join, workspace, written
+from .common import WS_CHARS, ascii_lower, delete_path, document_key, let, null_safe_join, read_text, workspace, write_text, written
 
 
 def line_key(line: Column) -> Column:
@@ -30,56 +38,100 @@ def _distinct_keys(keys: Column) -> Column:
 
 
 class LineRuns:
-    """The levelled store of one corpus, in a shared folder."""
+    """The levelled store of one corpus, in a shared folder.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4):
-        self.spark, self.fanout = spark, max(2, fanout)
-        self.path = path or workspace(spark, "line-runs")
-        self.levels: list[list[str]] = []
-        self._made = 0
+    A folder that has a manifest is opened as it was left. What a lost driver has left half done is
+    in folders that the manifest does not name. Runs are registered as tables of this session for
+    their buckets' sake; ``close`` takes the names back.
+    """
 
-    def _new(self, level: int) -> str:
-        self._made += 1
-        return f"{self.path}/level-{level}/run-{self._made}"
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 2, buckets: int | None = None):
+        self.spark, self.path = spark, (path or workspace(spark, "line-runs")).rstrip("/")
+        known = read_text(spark, f"{self.path}/manifest.json")
+        state = json.loads(known) if known else {}
+        self.fanout = state.get("fanout", max(2, fanout))
+        self.buckets = state.get("buckets", buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.levels: list[list[str]] = state.get("levels", [])
+        self._tables: dict[str, str] = {}
+
+    def _save(self) -> None:
+        write_text(self.spark, f"{self.path}/manifest.json", json.dumps({"fanout": self.fanout, "buckets": self.buckets, "levels": self.levels}))
+
+    def _table(self, run: str, batches: bool = False) -> str:
+        if run not in self._tables:
+            name = f"schemaloom_{uuid.uuid4().hex}"
+            columns, part = ("line STRING, n BIGINT, batch INT", "PARTITIONED BY (batch)") if batches else ("line STRING, n BIGINT", "")
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {part} CLUSTERED BY (line) SORTED BY (line) INTO {self.buckets} BUCKETS LOCATION '{run}'")
+            self._tables[run] = name
+        return self._tables[run]
+
+    def _forget(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop(run)}") if run in self._tables else None
+
+    def close(self) -> None:
+        for run in list(self._tables):
+            self._forget(run)
+
+    def _write(self, rows: DataFrame, level: int) -> str:
+        run = f"{self.path}/level-{level}/run-{uuid.uuid4().hex}"
+        rows.select("line", "n").write.insertInto(self._table(run))
+        self.spark.catalog.refreshTable(self._table(run))
+        return run
 
     def _put(self, level: int, run: str) -> None:
+        """Name the run in the manifest; merge full levels, each with one more change of the manifest."""
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
+        self._save()
         if len(self.levels[level]) >= self.fanout:
-            self._compact(level)
-
-    def _read(self, runs: list[str]) -> DataFrame:
-        return self.spark.read.schema("line string, n bigint").parquet(*runs)
-
-    def _compact(self, level: int) -> None:
-        merging, self.levels[level] = self.levels[level], []
-        merged = self._new(level + 1)
-        self._read(merging).groupBy("line").agg(F.sum("n").alias("n")).sortWithinPartitions("line").write.parquet(merged)
-        for run in merging:
-            delete_path(self.spark, run)
-        self._put(level + 1, merged)
-
-    def add(self, docs: DataFrame, batch: Column | None = None, batches: int = 1) -> None:
-        """Add documents as one run, or, with ``batch`` (0 to batches - 1), as that many from one scan."""
+            merging, self.levels[level] = self.levels[level], []
+            merged, used = merging[0], list(merging)
+            for more in merging[1:]:
+                merged = self._write(self._merged(merged, more), level + 1)
+                used.append(merged)
+            self._put(level + 1, merged)
+            for old in used[:-1]:
+                self._forget(old)
+                delete_path(self.spark, old)
+
+    def _merged(self, one: str, other: str) -> DataFrame:
+        a, b = (self.spark.table(self._table(run)).withColumnRenamed("n", n) for run, n in ((one, "a"), (other, "b")))
+        zero = F.lit(0)
+        return a.join(b.hint("merge"), "line", "full_outer").select("line", (F.coalesce("a", zero) + F.coalesce("b", zero)).alias("n"))
+
+    def _runs(self) -> list[str]:
+        return [run for level in self.levels for run in level]
+
+    def add(self, docs: DataFrame, min_docs: int | None = None, batch: Column | None = None, batches: int = 1) -> None:
+        """Add documents as one batch, or, with ``batch`` (0 to batches - 1), as that many from one scan.
+
+        With ``min_docs`` the lines that the runs know from so many documents are not counted on:
+        their counts are lower bounds then.
+        """
         number = F.lit(0) if batch is None else batch
         rows = _with_lines(docs).select(number.cast("int").alias("batch"), F.explode(_distinct_keys(F.col("keys"))).alias("line"))
-        counted = rows.groupBy("batch", "line").agg(F.count(F.lit(1)).alias("n"))
-        landing = self._new(0)
-        counted.sortWithinPartitions("batch", "line").write.partitionBy("batch").parquet(landing)
-        jvm = self.spark.sparkContext._jvm
+        counted = rows.groupBy("line", "batch").agg(F.count(F.lit(1)).alias("n"))
+        landing = f"{self.path}/landing-{uuid.uuid4().hex}"
+        counted.repartition(self.buckets, "line").select("line", "n", "batch").write.insertInto(self._table(landing, batches=True))
+        self.spark.sql(f"MSCK REPAIR TABLE {self._table(landing)}")
         for k in range(batches if batch is not None else 1):
-            folder = jvm.org.apache.hadoop.fs.Path(f"{landing}/batch={k}")
-            if folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-                self._put(0, f"{landing}/batch={k}")
+            fresh = self.spark.table(self._table(landing)).where(F.col("batch") == k)
+            if min_docs is not None and self._runs():
+                fresh = fresh.join(self.frequent(min_docs).hint("merge"), "line", "left_anti")
+            self._put(0, self._write(fresh, 0))
+        self._forget(landing)
+        delete_path(self.spark, landing)
 
     def counts(self) -> DataFrame:
-        """(line, n) over all runs; merged in the plan, or read as it is where one run is left."""
-        runs = [run for level in self.levels for run in level]
+        """(line, n) over all runs; summed in the plan, or read as it is where one run is left."""
+        runs = self._runs()
         if not runs:
             return self.spark.range(0).select(F.lit("").alias("line"), F.col("id").alias("n"))
-        found = self._read(runs)
-        return found if len(runs) == 1 else found.groupBy("line").agg(F.sum("n").alias("n"))
+        if len(runs) == 1:
+            return self.spark.table(self._table(runs[0]))
+        # without their buckets: Spark 4.1 takes a union of bucketed tables for bucketed, and sums wrongly
+        return self.spark.read.schema("line string, n bigint").parquet(*runs).groupBy("line").agg(F.sum("n").alias("n"))
 
     def frequent(self, min_docs: int) -> DataFrame:
         return self.counts().where(F.col("n") >= min_docs).select("line")
@@ -87,26 +139,21 @@ class LineRuns:
     def judge_then_add(self, docs: DataFrame, min_docs: int) -> DataFrame:
         """Incremental use: the batch judged by the runs that lie there, written, and then added to them."""
         judged = written(apply_runs(docs, self, min_docs), workspace(self.spark, "line-batch"))
-        self.add(docs)
+        self.add(docs, min_docs)
         return judged
 
 
 def _applied(docs: DataFrame, runs: LineRuns, min_docs: int) -> DataFrame:
     """``docs`` with all columns and __sl_before and __sl_kept, the lines of the text and those that stay."""
+    frequent = written(runs.frequent(min_docs), workspace(runs.spark, "frequent-lines"))  # without buckets, so that a line of many documents can be split
+    runs.close()
     probes = _with_lines(docs).select(F.col("doc_id").alias("__sl_id"), F.col("__h").alias("__sl_h"), F.explode(_distinct_keys(F.col("keys"))).alias("line"))
-    staying = probes.join(runs.frequent(min_docs).hint("merge"), "line", "left_anti").groupBy("__sl_id", "__sl_h").agg(F.collect_set("line").alias("__sl_staying"))
+    going = probes.join(frequent.hint("merge"), "line", "left_semi").groupBy("__sl_id", "__sl_h").agg(F.collect_set("line").alias("__sl_gone"))
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumns({"__sl_id": F.col("doc_id"), "__sl_h": F.xxhash64(text)})
-    both = null_safe_join(keyed, staying, ["__sl_id", "__sl_h"], "left")
-    both = both.withColumn("__sl_before", F.split(text, "\n", -1)).withColumn("__sl_keys", F.transform("__sl_before", line_key))
-    gone = F.array_except(_distinct_keys(F.col("__sl_keys")), F.coalesce("__sl_staying", F.array().cast("array<string>")))
-
-    def stays(dropped: Column) -> Column:
-        return F.when(F.size(dropped) == 0, F.col("__sl_before")).otherwise(
-            let(F.col("__sl_keys"), lambda keys: F.filter("__sl_before", lambda _, i: ~F.coalesce(F.array_contains(dropped, F.get(keys, i)), F.lit(False))))
-        )
-
-    return both.withColumn("__sl_kept", let(gone, stays)).drop("__sl_id", "__sl_h", "__sl_keys", "__sl_staying")
+    both = null_safe_join(keyed, going, ["__sl_id", "__sl_h"], "left").withColumn("__sl_before", F.split(text, "\n", -1))
+    left = F.filter("__sl_before", lambda line: ~F.coalesce(F.array_contains("__sl_gone", line_key(line)), F.lit(False)))
+    return both.withColumn("__sl_kept", F.when(F.col("__sl_gone").isNull(), F.col("__sl_before")).otherwise(left)).drop("__sl_id", "__sl_h", "__sl_gone")
 
 
 def apply_runs(docs: DataFrame, runs: LineRuns, min_docs: int) -> DataFrame:
@@ -119,13 +166,13 @@ def apply_runs(docs: DataFrame, runs: LineRuns, min_docs: int) -> DataFrame:
     return found.select("doc_id", F.array_join("__sl_kept", "\n").alias("kept_text"), n_lines.alias("n_lines"), (n_lines - F.size("__sl_kept")).alias("n_dropped"))
 
 
-def _runs_of(docs: DataFrame, batches: int, fanout: int) -> LineRuns:
+def _runs_of(docs: DataFrame, min_docs: int, batches: int, fanout: int) -> LineRuns:
     runs = LineRuns(docs.sparkSession, fanout=fanout)
-    runs.add(docs, F.pmod(F.xxhash64("doc_id", "__h"), F.lit(batches)), batches)
+    runs.add(docs, min_docs, F.pmod(F.xxhash64("doc_id", "__h"), F.lit(batches)), batches)
     return runs
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
     """Drop every line whose key occurs in ``min_docs`` or more documents.
 
     Lines are split at line feeds; a key is the line without ASCII white space at both ends and
@@ -135,16 +182,16 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: i
 
     Returns doc_id, kept_text, n_lines (before), n_dropped.
     """
-    return apply_runs(docs, _runs_of(docs, batches, fanout), min_docs)
+    return apply_runs(docs, _runs_of(docs, min_docs, batches, fanout), min_docs)
 
 
-def without_common_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 4) -> DataFrame:
+def without_common_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
     """The documents with all their columns, without the lines that ``dedup_lines`` drops.
 
     Every document stays, if with an empty text. A null text stays null. n_chars, where there is
     such a column, is counted anew for the texts that have changed.
     """
-    found = _applied(docs, _runs_of(docs, batches, fanout), min_docs)
+    found = _applied(docs, _runs_of(docs, min_docs, batches, fanout), min_docs)
     changed = F.size("__sl_kept") < F.size("__sl_before")
     kept = F.array_join("__sl_kept", "\n")
     new = {"text": F.when(changed, kept).otherwise(F.col("text"))}

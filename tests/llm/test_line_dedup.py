@@ -40,6 +40,30 @@ def test_compaction_levels_and_batches_give_the_same(spark, docs, corpus):
     assert by_text(got) == by_text(brute(corpus, 10))
 
 
+def test_a_store_is_opened_again_and_half_done_work_does_not_count(spark, docs, corpus):
+    runs = line_dedup.LineRuns(spark, buckets=3)
+    parts = docs.randomSplit([0.3, 0.2, 0.2, 0.3], seed=4)
+    for part in parts[:3]:
+        runs.add(part)
+    runs._write(spark.createDataFrame([("lost", 99)], "line string, n bigint"), 0)  # the driver is lost before the manifest names it
+    runs.close()
+    again = line_dedup.LineRuns(spark, runs.path, fanout=7)
+    assert (again.levels, again.fanout, again.buckets) == (runs.levels, 2, 3)
+    again.add(parts[3], 10)
+    got = [tuple(r) for r in line_dedup.apply_runs(docs, again, 10).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()]
+    assert by_text(got) == by_text(brute(corpus, 10))
+
+
+def test_runs_are_merged_without_a_shuffle(spark, docs):
+    runs = line_dedup.LineRuns(spark, fanout=8)
+    for part in docs.randomSplit([0.5, 0.5], seed=4):
+        runs.add(part)
+    merged = runs._merged(*runs.levels[0])
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+    want = {r.line: r.n for r in runs.counts().collect()}
+    assert {r.line: r.n for r in merged.collect()} == want and max(want.values()) >= 14
+
+
 def test_batches_as_they_arrive_are_judged_by_what_came_before(spark):
     runs = line_dedup.LineRuns(spark)
     make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
