@@ -2,8 +2,10 @@
 
 Each block-level element is a node with features of its own, of its subtree, its ancestors and its
 siblings. The trees give the probability that it belongs to the main text. Decoding keeps or drops
-whole subtrees, or leaves the choice to the children, whichever is likeliest for the page; so an
-element that is kept has no dropped ancestor, and one that is dropped no kept descendant.
+whole subtrees, or leaves the choice to the children, whichever is likeliest for the page. What is
+kept as a whole holds nothing that is dropped, and what is dropped as a whole nothing that is kept.
+Text that lies directly in an element whose choice is left to its children counts as one more child
+of it, which is kept or dropped by the element's own probability.
 
 The trees are trained here, on pages that ``synthetic_page`` makes up with known labels.
 """

@@ -1,3 +1,6 @@
+import itertools
+import time
+
 import numpy as np
 import pytest
 
@@ -90,6 +93,68 @@ def test_decoding_never_contradicts_itself():
     assert not H.decode(nodes, np.full(len(nodes.parent), -5.0)).any()
 
 
+def brute_decoding(nodes, logit):
+    """The best value of any choice of in, out or undecided for each node, by enumeration along the tree."""
+    weight = np.where(nodes.subtree > 0, np.sqrt(1 + np.minimum(nodes.own, 400) / 20), 0.0)
+    keep, drop = -np.logaddexp(0, -logit) * weight, -np.logaddexp(0, logit) * weight
+    n = len(logit)
+    children = [[j for j in range(n) if nodes.parent[j] == i] for i in range(n)]
+    under = lambda i: [i, *(k for j in children[i] for k in under(j))]
+    best, chosen = -np.inf, None
+    for states in itertools.product((0, 1, 2), repeat=n):
+        if any(nodes.parent[i] >= 0 and states[nodes.parent[i]] and states[i] != states[nodes.parent[i]] for i in range(n)):
+            continue
+        value = sum(keep[i] if s == 1 else drop[i] if s == 2 else (max(keep[i], drop[i]) if nodes.own[i] else 0) - H.MIXED for i, s in enumerate(states))
+        if value > best + 1e-9:
+            best, chosen = value, states
+    return best, [s == 1 or (s == 0 and logit[i] > 0) for i, s in enumerate(chosen)], chosen, under
+
+
+def test_decoding_is_the_best_one_and_keeps_or_drops_wholes():
+    rng = np.random.default_rng(8)
+    mixed = 0
+    for _ in range(40):
+        n = int(rng.integers(1, 8))
+        parent = np.array([-1, *(int(rng.integers(0, i)) for i in range(1, n))])
+        depth = np.zeros(n, int)
+        for i in range(1, n):
+            depth[i] = depth[parent[i]] + 1
+        own = rng.integers(0, 2, n) * rng.integers(1, 900, n)
+        subtree = own.copy()
+        for i in range(n - 1, 0, -1):
+            subtree[parent[i]] += subtree[i]
+        nodes = H.Nodes(parent, depth, np.zeros((n, 1), np.float32), own, subtree)
+        logit = rng.normal(size=n) * 3
+        _, kept, states, under = brute_decoding(nodes, logit)
+        got = H.decode(nodes, logit)
+        with_text = own > 0
+        assert got[with_text].tolist() == np.array(kept)[with_text].tolist()
+        for i, s in enumerate(states):
+            if s and subtree[i]:
+                assert {bool(got[k]) for k in under(i) if own[k]} <= {s == 1}
+        mixed += 0 in states
+    assert mixed > 5
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<p>" + "<b>" * 100_000 + "</i>" * 100_000, "<font>" * 100_000 + "<li>" * 100_000, "<i>" + "<p>" + "<b>" * 100_000 + "</i>" * 100_000]
+    + ["<a " * 200_000, "<!" * 200_000, '<a ">" ' * 50_001, "<!--" * 100_000, "<script>" * 50_000, "<div><span>" * 100_000 + "x"],
+    ids=["unmatched ends", "items", "ends beyond the block", "no end of tags", "declarations", "open quotes", "comments", "raw", "never closed"],
+)
+def test_broken_pages_are_read_in_linear_time(source):
+    began = time.process_time()
+    dom.parse(source)
+    assert time.process_time() - began < 2
+
+
+def test_text_behind_the_last_tag_and_open_comments():
+    assert [t for _, t in dom.parse("<p>a</p>b < c <d").blocks] == ["a", "b < c <d"]
+    for comment in ("<!-- c", "<!-- c > d", "<!-- c</p> d"):
+        assert [t for _, t in dom.parse("<p>a</p>b" + comment).blocks] == ["a", "b"]
+    assert [t for _, t in dom.parse('<p title="x > y">a</p><p title="z>b</p>').blocks] == ["a", "b"]
+
+
 def test_trees_fit_what_they_are_shown():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 5))
