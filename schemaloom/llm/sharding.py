@@ -11,7 +11,7 @@ capacity meet; that takes two or three levels at any size.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -176,10 +176,24 @@ class Assignment:
         table = rows.sparkSession.createDataFrame(named, "__sl_key bigint, __sl_moved bigint, __sl_alone int")  # at most shards * LARGE rows
         placed = rows.join(F.broadcast(table), rows[key] == table["__sl_key"], "left")
         place, first = F.coalesce("__sl_moved", key), len(self.alone)
-        shard = F.lit(first + max(0, len(self.ends) - 1))
-        for i in reversed(range(len(self.ends) - 1)):
-            shard = F.when(place <= F.lit(self.ends[i]), F.lit(first + i)).otherwise(shard)
-        return placed.withColumn("__sl_shard", F.coalesce("__sl_alone", shard).cast("int")).drop("__sl_key", "__sl_moved", "__sl_alone")
+        if len(self.ends) < 2:
+            shard = F.lit(first)
+        else:
+            cuts, bits = self.ends[:-1], min(32, len(self.ends).bit_length() + 2)
+            prefix = F.shiftright(place, 64 - bits)
+            placed = placed.join(F.broadcast(self._ranges(rows, cuts, bits)), prefix == F.col("__sl_prefix"))
+            shard = F.col("__sl_before") + F.size(F.filter("__sl_cuts", lambda c: c < place)) + first
+        return placed.withColumn("__sl_shard", F.coalesce("__sl_alone", shard).cast("int")).select(*[rows[c] for c in rows.columns], "__sl_shard")
+
+    @staticmethod
+    def _ranges(rows: DataFrame, cuts: list[int], bits: int) -> DataFrame:
+        """The cuts by their leading bits, at most 16 ranges for each shard: how many are before the range, and those in it."""
+        step, at, found = 1 << (64 - bits), 0, []
+        for prefix in range(-(1 << (bits - 1)), 1 << (bits - 1)):
+            upto = bisect_left(cuts, (prefix + 1) * step, at)
+            found.append((prefix, at, cuts[at:upto]))
+            at = upto
+        return rows.sparkSession.createDataFrame(found, "__sl_prefix bigint, __sl_before int, __sl_cuts array<bigint>")
 
 
 def assign(sized: DataFrame, shards: int) -> Assignment:
@@ -238,9 +252,12 @@ def _with_slots(placed: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24) -> None:
-    """Write the documents with all their columns as Parquet folders shard=0, shard=1, ..."""
+    """Write the documents with all their columns as Parquet folders shard=0, shard=1, ...; a column named shard is written as shard_."""
     rows = written(_sized(docs).select("key", "size"), workspace(docs.sparkSession, "shard-sizes"))
-    placed = assign(rows, shards).apply(docs.withColumn("__sl_own", _key()), "__sl_own")
+    free = "shard_"
+    while free in docs.columns:
+        free += "_"
+    placed = assign(rows, shards).apply(docs.withColumnRenamed("shard", free).withColumn("__sl_own", _key()), "__sl_own")
     placed.drop("__sl_own").withColumnRenamed("__sl_shard", "shard").write.partitionBy("shard").parquet(path)
 
 

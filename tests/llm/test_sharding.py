@@ -71,3 +71,38 @@ def test_empty_table_and_files(spark, no_docs, docs, tmp_path):
     S.write_shards(docs.select("doc_id", "text", "lang"), f"file://{tmp_path}/out", 4)
     back = spark.read.parquet(f"file://{tmp_path}/out")
     assert back.count() == docs.count()
+
+
+def test_thousands_of_shards(spark):
+    rng = random.Random(9)
+    ends = sorted({rng.getrandbits(64) - (1 << 63) for _ in range(2500)} | {5, 6, 7, -(1 << 63), (1 << 63) - 1})
+    keys = [*ends, *(e + 1 for e in ends[:-1]), *(rng.getrandbits(64) - (1 << 63) for _ in range(500))]
+    put = S.Assignment({keys[0]: 0, 11: 1}, {keys[1]: 6}, ends)
+    rows = put.apply(spark.createDataFrame([(k, k) for k in [*keys, 11]], "own bigint, __x bigint"), "own").collect()
+    for r in rows:
+        place = 6 if r.own == keys[1] else r.own
+        want = {keys[0]: 0, 11: 1}.get(r.own, 2 + sum(e < place for e in ends[:-1]))
+        assert r["__sl_shard"] == want
+
+
+def test_groups_alone_and_moved_are_near_the_best_capacity(spark):
+    rng = random.Random(3)
+    for shards in (3, 7):
+        groups = {rng.getrandbits(64) - (1 << 63): n for n in [9000, 4000, *(rng.randint(100, 900) for _ in range(10)), *(rng.randint(8, 40) for _ in range(300))]}
+        put = S.assign(spark.createDataFrame(list(groups.items()), "key bigint, size bigint"), shards)
+        found = put.apply(spark.createDataFrame([(k,) for k in groups], "key bigint"), "key").collect()
+        loads = [0] * shards
+        for r in found:
+            loads[r["__sl_shard"]] += groups[r.key]
+        left, rest = shards, sum(groups.values())
+        for n in sorted(groups.values(), reverse=True):  # the bound: large groups alone, the rest in equal parts
+            if left > 1 and n * left > rest:
+                left, rest = left - 1, rest - n
+        assert sum(loads) == sum(groups.values()) and sorted(loads)[left - 1] <= rest / left * (1 + 1 / S.LARGE)  # an order cut anywhere between groups of at most a LARGE-th of a shard
+
+
+def test_write_shards_keeps_columns(spark, docs, tmp_path):
+    S.write_shards(docs, str(tmp_path / "s"), 5)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert set(back.columns) == {*docs.columns, "shard_"} and back.count() == docs.count()
+    assert {r.shard_ for r in back.select("shard_").collect()} == {"x"} and {r.shard for r in back.select("shard").collect()} <= set(range(5))
