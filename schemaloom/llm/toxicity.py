@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import workspace, written
+
 #: Hash space of the features, and n-gram sizes.
 FEATURES, SIZES = 1 << 18, (3, 4, 5)
 #: Characters hashed at once; bounds the memory of a long text.
@@ -59,6 +61,13 @@ class Model:
         return 1.0 / (1.0 + np.exp(-min(50.0, max(-50.0, z))))
 
 
+def _log_ratio(p: np.ndarray, q: np.ndarray, n_p: int, n_q: int) -> np.ndarray:
+    """The naive Bayes log-count ratio of features that p of n_p toxic and q of n_q clean texts have; 0 where it tells nothing."""
+    ratio = np.log((p + SMOOTHING) / (n_p + 2 * SMOOTHING)) - np.log((q + SMOOTHING) / (n_q + 2 * SMOOTHING))
+    error_of = np.sqrt(1 / (p + SMOOTHING) + 1 / (q + SMOOTHING))
+    return np.where((np.abs(ratio) < SIGNIFICANCE * error_of) | (p + q < LEAST_DOCS), 0.0, ratio)
+
+
 def fit(rows: list[np.ndarray], toxic: np.ndarray, prior: float | None = None) -> Model:
     """Train on the feature numbers of texts and their labels; ``prior`` is the share of toxic texts to expect."""
     if not len(toxic) or toxic.min() == toxic.max():
@@ -67,9 +76,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, prior: float | None = None) -
     every = np.concatenate(rows)
     p, q = (np.bincount(np.concatenate([r for r, t in zip(rows, toxic, strict=True) if t == c]), minlength=FEATURES).astype(np.float64) for c in (1, 0))
     n_p, n_q = (toxic == 1).sum(), (toxic == 0).sum()
-    ratio = np.log((p + SMOOTHING) / (n_p + 2 * SMOOTHING)) - np.log((q + SMOOTHING) / (n_q + 2 * SMOOTHING))
-    error_of = np.sqrt(1 / (p + SMOOTHING) + 1 / (q + SMOOTHING))
-    ratio[(np.abs(ratio) < SIGNIFICANCE * error_of) | (p + q < LEAST_DOCS)] = 0.0
+    ratio = _log_ratio(p, q, n_p, n_q)
     # rows as compressed indexes over the features that tell anything
     used = (ratio != 0)[every]
     owner, column = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[used], every[used]
@@ -100,14 +107,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     """Fit on labelled documents outside the held-out fold: at most ``per_class`` of each class.
 
     Labels are rows of doc_id and toxic (0 or 1; other values and nulls are left out). Where one
-    doc_id has several labels or texts, one of them counts. Without labels of both classes the
+    doc_id has several labels, a toxic one counts; where it has several texts, that of the smallest hash. Without labels of both classes the
     model has one score for all texts.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
     known = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * per_class rows
-    sample = docs.select("doc_id", "text").join(ids, "doc_id")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    one_each = docs.select("doc_id", text.alias("text")).join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = written(one_each.select("text", "doc_id", F.col("toxic").cast("int").alias("toxic")), workspace(docs.sparkSession, "toxicity-sample"))
+    useful = docs.sparkSession.sparkContext.broadcast(_telling(sample))  # a flag for each feature
 
     def featurize(batches) -> Iterator:
         import pyarrow as pa
@@ -115,17 +125,42 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                found = [features(t).tobytes() for t in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2).cast(pa.int32()), pa.array(found, pa.binary())], names=["doc_id", "toxic", "ids"])
+                every = (features(t) for t in some.column(0).to_pylist())
+                found = [ids[useful.value[ids]].tobytes() for ids in every]
+                yield pa.RecordBatch.from_arrays([some.column(1), some.column(2), pa.array(found, pa.binary())], names=["doc_id", "toxic", "ids"])
 
     got = sample.mapInArrow(featurize, "doc_id bigint, toxic int, ids binary").toArrow().to_pylist()
-    rows = {r["doc_id"]: r for r in sorted(got, key=lambda r: (r["doc_id"], r["ids"]))}
-    ordered = [rows[k] for k in sorted(rows)]
+    ordered = sorted(got, key=lambda r: r["doc_id"])
     share = known.agg(F.avg("toxic")).first()[0]
     prior = None if share is None else min(0.5, max(0.01, share))
     return fit([np.frombuffer(r["ids"], np.int32) for r in ordered], np.array([r["toxic"] for r in ordered], dtype=np.int64), prior)
 
 
+def _telling(sample: DataFrame) -> np.ndarray:
+    """The features whose log-count ratio differs from 0, counted on the executors: the driver gets two numbers for each feature at most."""
+
+    def count(batches) -> Iterator:
+        import pyarrow as pa
+
+        counts = np.zeros((2, FEATURES), np.int64)
+        texts = np.zeros(2, np.int64)
+        for batch in batches:
+            for t, toxic in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                counts[toxic][features(t)] += 1
+                texts[toxic] += 1
+        held = np.flatnonzero(counts.any(axis=0))
+        rows = [np.append(held, -1), np.append(counts[1][held], texts[1]), np.append(counts[0][held], texts[0])]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["feature", "p", "q"])
+
+    summed = sample.mapInArrow(count, "feature bigint, p bigint, q bigint").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).toArrow()
+    feature, p, q = (summed.column(c).to_numpy() for c in ("feature", "p", "q"))
+    told = np.zeros(FEATURES, bool)
+    if len(feature):
+        ratio = _log_ratio(p, q, p[feature < 0].sum(), q[feature < 0].sum())
+        told[feature[(ratio != 0) & (feature >= 0)]] = True
+    return told
+
+
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``docs`` with all columns and the score of each whole text, from 0 to 1; null texts score as empty ones."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES numbers

@@ -69,3 +69,25 @@ def test_edge_rows_and_tables(spark, docs, corpus, no_docs, labelled):
     assert {r.score for r in T.op6_toxicity(docs, labels.limit(0)).collect()} == {0.5}
     only_clean = spark.createDataFrame([(i, 0) for i in range(50)], "doc_id bigint, toxic int")
     assert {r.predicted for r in T.op6_toxicity(docs, only_clean).collect()} == {0}
+
+
+def test_model_equals_one_fitted_in_one_place(spark, labelled):
+    docs, labels = labelled
+    model = T.train(docs, labels)
+    toxic = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.toxic in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5:
+            toxic[r.doc_id] = max(toxic.get(r.doc_id, 0), r.toxic)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(toxic)
+    whole = T.fit([T.features(texts[i]) for i in ids], np.array([toxic[i] for i in ids]), min(0.5, max(0.01, np.mean(list(toxic.values())))))
+    assert np.allclose(model.weights, whole.weights, atol=1e-6) and abs(model.bias - whole.bias) < 1e-9
+    scores = {r.doc_id: r.score for r in T.scored(docs.select("doc_id", "text"), model).collect()}
+    for i in list(texts)[:50]:
+        assert scores[i] == pytest.approx(whole.score(texts[i]), abs=1e-6)
+
+
+def test_a_document_repeated_many_times_is_one_row_of_the_sample(spark, labelled):
+    docs, labels = labelled
+    again = docs.unionByName(docs.where("doc_id in (1, 6, 7)").crossJoin(spark.range(30)).drop("id"))
+    assert np.array_equal(T.train(docs, labels).weights, T.train(again, labels).weights)
