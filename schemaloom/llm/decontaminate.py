@@ -1,8 +1,12 @@
 """Benchmark decontamination: a broadcast hash set of the test windows, probed by every training window.
 
 A window is ``width`` consecutive words; an item of fewer words, but not none, is one window. The
-hashes of the test windows are broadcast while there are at most ``max_broadcast`` of them; beyond
-that the same join is shuffled. Hash hits are verified word by word against the item's window.
+test windows are broadcast by their hashes while there are at most ``max_broadcast`` of them with at
+most MAX_BROADCAST_BYTES; beyond that the same join is shuffled. Hash hits are verified word by word
+against the item's window.
+
+Windows that the same items hold name one set of items. A hit carries that name only, and a document
+meets the items once for each set, however many items share its windows.
 """
 
 from __future__ import annotations
@@ -10,12 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, document_key, indexes, let, null_safe_join
+from .common import ascii_lower, document_key, indexes, let, null_safe_join, workspace, written
 
 #: What separates words after A-Z are lower-cased: ASCII but digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 10
-MAX_BROADCAST = 2_000_000
+MAX_BROADCAST = 500_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -27,46 +32,60 @@ def _hash(words: Column, at: Column, width: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(gram, width, item_ids): every distinct window of the test set with the items that hold it."""
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    items = items.withColumn("width", F.least(F.size("words"), F.lit(width)))
+    """(gram, width, item_ids, items): every distinct window of the test set, the items that hold it, and the name of that set of items."""
+    rows = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    rows = rows.withColumn("width", F.least(F.size("words"), F.lit(width)))
     starts = F.sequence(F.lit(1), F.col("size") - F.col("width") + 1)
-    each = items.withColumn("size", F.size("words")).select("item_id", "width", F.transform(starts, lambda i: F.slice("words", i, F.col("width"))).alias("grams"))
+    each = rows.withColumn("size", F.size("words")).select("item_id", "width", F.transform(starts, lambda i: F.slice("words", i, F.col("width"))).alias("grams"))
     each = each.select("item_id", "width", F.explode(F.array_distinct("grams")).alias("gram"))
-    return each.groupBy("gram", "width").agg(F.collect_set(F.col("item_id").cast("string")).alias("item_ids"))
-
-
-def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Each document's verified hits.
-
-    Returns doc_id, text (null: empty), words, hits: array of (start, width, item_ids), by start
-    and width, one row for each row of ``docs``. Null texts have no words. A null item text has no
-    window and its item no hit. With an empty test set, every hits is empty.
-    """
-    test = benchmark_windows(benchmark, width)
-    widths = sorted(r.width for r in test.select("width").distinct().collect())  # at most ``width`` values
+    held = each.groupBy("gram", "width").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    return held.withColumn("items", F.sha2(F.to_json("item_ids"), 256))
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_broadcast: int = MAX_BROADCAST) -> tuple[DataFrame, DataFrame]:
+    """One row for each row of ``docs``: doc_id, text, __h, words, hits (start, width, items); and the sets: items, item_ids."""
+    windows = written(benchmark_windows(benchmark, width), workspace(docs.sparkSession, "test-windows"))
+    sets = windows.groupBy("items").agg(F.first("item_ids").alias("item_ids"))
+    test = windows.select(F.xxhash64("gram").alias("hash"), "width", "gram", "items")
+    weight = F.sum(F.octet_length(F.array_join("gram", " ")) + 16 * F.col("width") + 200)  # as rows of the join's table
+    measured = test.agg(F.count(F.lit(1)).alias("n"), F.coalesce(weight, F.lit(0)).alias("bytes"), F.collect_set("width").alias("widths")).first()
+    widths = sorted(measured.widths)  # at most ``width`` values
     keyed = document_key(docs)
     if not widths:
-        none = F.array().cast("array<struct<start:int,width:int,item_ids:array<string>>>")
-        return keyed.select("doc_id", "text", words_of(F.col("text")).alias("words"), none.alias("hits"))
-    test = test.withColumn("hash", F.xxhash64("gram"))
-    small = test.limit(max_broadcast + 1).count() <= max_broadcast
-    probe = F.broadcast(test) if small else test
+        none = F.array().cast("array<struct<start:int,width:int,items:string>>")
+        return keyed.withColumn("words", words_of(F.col("text"))).withColumn("hits", none), sets
+    probe = F.broadcast(test) if measured.n <= max_broadcast and measured.bytes <= MAX_BROADCAST_BYTES else test
 
     def windows_of(words: Column, w: int) -> Column:
         return F.transform(indexes(F.size(words) - w + 1), lambda i: F.struct(i.alias("start"), F.lit(w).alias("width"), _hash(words, i, w).alias("hash")))
 
-    def windows(words: Column) -> Column:
+    def every(words: Column) -> Column:
         each = [windows_of(words, w) for w in widths]
         return each[0] if len(each) == 1 else F.concat(*each)
 
-    probes = keyed.select("doc_id", "__h", F.explode(let(words_of(F.col("text")), windows)).alias("w")).select("doc_id", "__h", "w.start", "w.width", "w.hash")
-    found = probes.join(probe, ["hash", "width"]).groupBy("doc_id", "__h").agg(F.collect_set(F.struct("start", "width", "gram", "item_ids")).alias("found"))
+    probes = keyed.select("doc_id", "__h", F.explode(let(words_of(F.col("text")), every)).alias("w")).select("doc_id", "__h", "w.start", "w.width", "w.hash")
+    found = probes.join(probe, ["hash", "width"]).groupBy("doc_id", "__h").agg(F.collect_set(F.struct("start", "width", "gram", "items")).alias("found"))
     both = null_safe_join(keyed, found, ["doc_id", "__h"], "left")
     both = both.withColumn("words", words_of(F.col("text")))
     sound = F.filter(F.coalesce("found", F.array()), lambda x: F.slice("words", x["start"] + 1, x["width"]) == x["gram"])
-    plain = F.transform(F.array_sort(sound), lambda x: F.struct(x["start"], x["width"], x["item_ids"]))
-    return both.select("doc_id", "text", "words", plain.alias("hits"))
+    plain = F.transform(F.array_sort(sound), lambda x: F.struct(x["start"], x["width"], x["items"]))
+    return both.withColumn("hits", plain).drop("found"), sets
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """Each document's verified hits, to look at.
+
+    Returns doc_id, text (null: empty), words, hits: array of (start, width, item_ids), by start
+    and width, one row for each row of ``docs``. Null texts have no words. A null item text has no
+    window and its item no hit. With an empty test set, every hits is empty.
+    """
+    hits, sets = _hits(docs, benchmark, width, max_broadcast)
+    hits = hits.withColumn("__row", F.monotonically_increasing_id())
+    hits = written(hits, workspace(docs.sparkSession, "hits"))  # row numbers are given once
+    each = hits.select("__row", F.explode("hits").alias("x")).select("__row", "x.*").join(sets, "items")
+    listed = each.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "width", "item_ids"))).alias("hits"))
+    none = F.array().cast("array<struct<start:int,width:int,item_ids:array<string>>>")
+    return hits.drop("hits").join(listed, "__row", "left").select("doc_id", "text", "words", F.coalesce("hits", none).alias("hits"))
 
 
 def covered(hits: Column) -> Column:
@@ -86,14 +105,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     A word inside any occurrence of a test window counts once in n_hit. Repeated rows are judged
     each for itself. Other columns are not read. An empty table gives no rows.
     """
-    hits = find_hits(docs, benchmark, width)
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["item_ids"]))))
-    return hits.select("doc_id", F.size("words").cast("long").alias("n_words"), covered(F.col("hits")).alias("n_hit"), items.alias("item_ids"))
+    hits, sets = _hits(docs, benchmark, width)
+    named = F.array_distinct(F.transform("hits", lambda x: x["items"])).alias("sets")
+    rows = hits.select("doc_id", "__h", F.size("words").cast("long").alias("n_words"), covered(F.col("hits")).alias("n_hit"), named)
+    rows = written(rows, workspace(docs.sparkSession, "contaminated"))  # without the texts
+    each = rows.select("doc_id", "__h", F.explode("sets").alias("items")).distinct().join(sets, "items")
+    items = each.select("doc_id", "__h", F.explode("item_ids").alias("id")).groupBy("doc_id", "__h").agg(F.array_sort(F.collect_set("id")).alias("item_ids"))
+    found = null_safe_join(rows, items, ["doc_id", "__h"], "left")
+    return found.select("doc_id", "n_words", "n_hit", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
 def hit_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, spans: array of (first, last) word positions of each maximal run of hit words."""
-    hits = find_hits(docs, benchmark, width)
+    hits = _hits(docs, benchmark, width)[0]
     start = F.array().cast("array<struct<first:int,last:int>>")
 
     def merge(acc: Column, x: Column) -> Column:
@@ -110,8 +134,8 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Data
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents that hold no window of the test set, with all their columns, unchanged."""
     keyed = docs.withColumns({"__sl_id": F.col("doc_id"), "__sl_h": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    bad = find_hits(docs, benchmark, width).where(F.size("hits") > 0)
-    bad = bad.select(F.col("doc_id").alias("__sl_id"), F.xxhash64("text").alias("__sl_h")).distinct()
+    bad = _hits(docs, benchmark, width)[0].where(F.size("hits") > 0)
+    bad = bad.select(F.col("doc_id").alias("__sl_id"), F.col("__h").alias("__sl_h")).distinct()
     return null_safe_join(keyed, bad, ["__sl_id", "__sl_h"], "left_anti").drop("__sl_id", "__sl_h")
 
 

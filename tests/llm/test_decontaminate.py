@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from schemaloom.llm import decontaminate
 
@@ -63,6 +64,14 @@ def test_clean_documents_and_spans(spark, docs, corpus, items):
     assert [tuple(s) for s in spans] == [(3, 4), (6, 9)]
 
 
+def test_a_window_that_many_items_share_is_carried_by_name(spark, docs, corpus, items):
+    many = [*items, *((100 + i, items[0][1] + f" own ending {i}") for i in range(300))]
+    hits, sets = decontaminate._hits(docs, table(spark, many))
+    assert "item_ids" not in hits.columns and sets.where(F.size("item_ids") > 300).count() == 1
+    got = decontaminate.op9_decontamination(docs, table(spark, many)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(corpus, many)
+
+
 def test_empty_tables(spark, docs, no_docs, items):
     nothing = table(spark, items).limit(0)
     assert decontaminate.op9_decontamination(no_docs, table(spark, items)).collect() == []
