@@ -1,20 +1,23 @@
 """Secret scanning with a trigram inverted index.
 
 For each rule's regular expression a Boolean query over lower-case trigrams is derived: a document
-that holds a match must satisfy it. The index holds postings (trigram, document) of the trigrams
-that the queries name. Intersecting postings gives each rule's candidates, which its expression
-then verifies; a rule whose expression has no mandatory trigram scans every document.
+that holds a match must satisfy it. The index holds postings (trigram, document), sorted by trigram
+in Parquet files, and the list of the trigrams that it covers: those that the queries of the given
+rules name. Intersecting postings gives each rule's candidates, which its expression then verifies;
+a rule whose expression has no mandatory trigram scans every document. Once written, an index
+answers any rules whose trigrams it covers without reading a text.
 """
 
 from __future__ import annotations
 
+import json
 import re._parser as regex_parser
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, document_key, let, null_safe_join
+from .common import ascii_lower, document_key, let, null_safe_join, read_text, workspace, write_text, written
 
 #: Literal strings that one position may expand to before the derivation gives up on exactness.
 MOST_STRINGS = 64
@@ -151,8 +154,8 @@ def postings(keyed: DataFrame, trigrams: list[str]) -> DataFrame:
     return lowered.select("doc_id", "__h", F.explode(held).alias("trigram"))
 
 
-def candidates(keyed: DataFrame, rules: list[Rule]) -> tuple[DataFrame | None, list[str]]:
-    """(doc_id, __h, kinds) of the documents that a rule's query admits; the kinds that scan fully."""
+def _clauses(rules: list[Rule]) -> tuple[list[tuple[str, int, int, str]], list[str]]:
+    """(kind, clause, trigrams of the clause, trigram) of all queries; the kinds that scan fully."""
     clauses, full = [], []
     for rule in rules:
         query = trigram_query(rule.regex)
@@ -160,12 +163,31 @@ def candidates(keyed: DataFrame, rules: list[Rule]) -> tuple[DataFrame | None, l
             full.append(rule.kind)
             continue
         clauses += [(rule.kind, n, len(clause), t) for n, clause in enumerate(sorted(query, key=sorted)) for t in sorted(clause)]
+    return clauses, full
+
+
+def write_index(docs: DataFrame, rules: list[Rule], path: str) -> str:
+    """Write the index of these rules' trigrams under ``path``, a shared folder, and return it."""
+    trigrams = sorted({c[-1] for c in _clauses(rules)[0]})
+    if trigrams:
+        found = postings(document_key(docs), trigrams).hint("rebalance", "trigram")  # a common trigram may fill many files
+        written(found.sortWithinPartitions("trigram"), f"{path}/postings")
+    write_text(docs.sparkSession, f"{path}/trigrams.json", json.dumps(trigrams))
+    return path
+
+
+def candidates(spark: SparkSession, index: str, rules: list[Rule]) -> tuple[DataFrame | None, list[str]]:
+    """(doc_id, __h, kinds) of the documents that a rule's query admits; the kinds that scan fully."""
+    clauses, full = _clauses(rules)
     if not clauses:
         return None, full
+    named = sorted({c[-1] for c in clauses})
+    if not {*named} <= {*json.loads(read_text(spark, f"{index}/trigrams.json") or "[]")}:
+        raise ValueError("the index does not cover these rules")
     rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("kind", "clause", "needs", "trigram"), c, strict=True)]) for c in clauses])
-    wanted = keyed.sparkSession.range(1).select(F.inline(rows))  # a few rows for each rule
-    index = postings(keyed, sorted({c[-1] for c in clauses}))
-    met = index.join(F.broadcast(wanted), "trigram").groupBy("doc_id", "__h", "kind", "clause", "needs").agg(F.count_distinct("trigram").alias("n"))
+    wanted = spark.range(1).select(F.inline(rows))  # a few rows for each rule
+    found = spark.read.parquet(f"{index}/postings").where(F.col("trigram").isin(named))
+    met = found.join(F.broadcast(wanted), "trigram").groupBy("doc_id", "__h", "kind", "clause", "needs").agg(F.count_distinct("trigram").alias("n"))
     return met.where(F.col("n") == F.col("needs")).groupBy("doc_id", "__h").agg(F.collect_set("kind").alias("kinds")), full
 
 
@@ -193,14 +215,17 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.when(F.regexp_like(text, regex), spans)
 
 
-def find_secrets(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+def find_secrets(docs: DataFrame, rules: list[Rule] = RULES, index: str | None = None) -> DataFrame:
     """Each document's secrets: doc_id, text (null: empty), spans: array of (start, order, end, kind).
 
+    ``index`` is the folder of an index of these documents; without it one is written first.
+
     Spans are sorted by start, then by the rules' order; spans of different kinds may overlap.
     One row for each row of ``docs``; repeated rows get equal results. Other columns are not read.
     """
     keyed = document_key(docs)
-    chosen, full = candidates(keyed, rules)
+    spark = docs.sparkSession
+    chosen, full = candidates(spark, index or write_index(docs, rules, workspace(spark, "trigrams")), rules)
     if chosen is None:
         both = keyed.withColumn("kinds", F.array().cast("array<string>"))
     else:

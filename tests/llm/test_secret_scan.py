@@ -4,6 +4,7 @@ import re
 import pytest
 
 from schemaloom.llm import secret_scan as S
+from schemaloom.llm.common import workspace
 
 TEXTS = [
     "password = hunter2secret and PASSWD:'abc' then token=secret=abcdefg",
@@ -75,5 +76,19 @@ def test_redaction(spark):
     assert {r.doc_id: r.text for r in S.redact(df).collect()} == {1: "a [SECRET] b", 2: ""}
 
 
+def test_an_index_answers_later_rules_that_it_covers(spark, docs, corpus, monkeypatch):
+    more = spark.createDataFrame([*corpus, *enumerate(TEXTS, 10_000)], "doc_id bigint, text string")
+    index = S.write_index(more, S.RULES, workspace(spark, "index"))
+    found = lambda rules, **given: sorted(str(tuple(r)) for r in S.find_secrets(more, rules, **given).collect())
+    whole = found(S.RULES)
+    assert found(S.RULES, index=index) == whole
+    few = [S.RULES[1], S.Rule("same", "AKIA[0-9]+")]
+    want = found(few)
+    monkeypatch.setattr(S, "postings", None)  # no text is indexed again
+    assert found(few, index=index) == want
+    with pytest.raises(ValueError, match="cover"):
+        S.find_secrets(more, [S.Rule("other", "wholly_other_token")], index=index)
+
+
 def test_empty_table(no_docs):
     assert S.op3_secret_scan(no_docs).collect() == []
