@@ -79,9 +79,12 @@ def workspace(spark: SparkSession, purpose: str) -> str:
     return path
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in a shared folder and read it back."""
-    df.write.mode("overwrite").parquet(path)
+def written(df: DataFrame, path: str, small: bool = False) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet in a shared folder and read it back.
+
+    ``small`` rows, without texts, are first gathered into files of a usual size, rather than one from each task.
+    """
+    (df.hint("rebalance") if small else df).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -108,7 +108,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     hits, sets = _hits(docs, benchmark, width)
     named = F.array_distinct(F.transform("hits", lambda x: x["items"])).alias("sets")
     rows = hits.select("doc_id", "__h", F.size("words").cast("long").alias("n_words"), covered(F.col("hits")).alias("n_hit"), named)
-    rows = written(rows, workspace(docs.sparkSession, "contaminated"))  # without the texts
+    rows = written(rows, workspace(docs.sparkSession, "contaminated"), small=True)  # without the texts
     each = rows.select("doc_id", "__h", F.explode("sets").alias("items")).distinct().join(sets, "items")
     items = each.select("doc_id", "__h", F.explode("item_ids").alias("id")).groupBy("doc_id", "__h").agg(F.array_sort(F.collect_set("id")).alias("item_ids"))
     found = null_safe_join(rows, items, ["doc_id", "__h"], "left")

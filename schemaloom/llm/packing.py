@@ -187,7 +187,7 @@ def pack_documents(
     spark = docs.sparkSession
     schema = _PIECES + (", ids binary" if with_ids else "")
     cut = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids, special_strings), schema)
-    pieces = written(cut, workspace(spark, "pieces"))  # the texts are encoded once
+    pieces = written(cut, workspace(spark, "pieces"), small=not with_ids)  # the texts are encoded once
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     segments, _ = plan_bins(counts, capacity)
     return placed(pieces, segments)

@@ -235,7 +235,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24) -> DataFrame:
 
     Returns doc_id, size, text_crc32, shard, slot: slots number a shard's rows from 0.
     """
-    rows = written(_sized(docs), workspace(docs.sparkSession, "shard-sizes"))  # the texts are read once
+    rows = written(_sized(docs), workspace(docs.sparkSession, "shard-sizes"), small=True)  # the texts are read once
     placed = assign(rows, shards).apply(rows, "key").withColumnRenamed("__sl_shard", "shard")
     return _with_slots(placed.select("doc_id", "size", "text_crc32", "shard"), rows)
 
@@ -253,7 +253,7 @@ def _with_slots(placed: DataFrame, rows: DataFrame) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24) -> None:
     """Write the documents with all their columns as Parquet folders shard=0, shard=1, ...; a column named shard is written as shard_."""
-    rows = written(_sized(docs).select("key", "size"), workspace(docs.sparkSession, "shard-sizes"))
+    rows = written(_sized(docs).select("key", "size"), workspace(docs.sparkSession, "shard-sizes"), small=True)
     free = "shard_"
     while free in docs.columns:
         free += "_"

@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, bits: int = MOST_BITS, words: int = SHINGLE
     if not 0 <= bits <= MOST_BITS:
         raise ValueError("the covering code is made for at most 3 bits")
     path = workspace(docs.sparkSession, "simhash")
-    own = written(fingerprints(docs, words), f"{path}/fingerprints")
+    own = written(fingerprints(docs, words), f"{path}/fingerprints", small=True)
     first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     labels = components(links(own.select("fp").distinct(), bits), path)
     labelled = first.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))

@@ -248,7 +248,7 @@ def write_table(docs: DataFrame, tokenizer: str, path: str, shards: int | None =
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     dealt = rows.repartitionByRange(shards, *order) if shards else rows.repartitionByRange(*order)
-    return written(dealt.sortWithinPartitions(*order).mapInArrow(write, _MANIFEST), f"{path}/manifest")
+    return written(dealt.sortWithinPartitions(*order).mapInArrow(write, _MANIFEST), f"{path}/manifest", small=True)
 
 
 def read_table(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
