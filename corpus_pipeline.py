@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from schemaloom.functions.scratch import delete_path, passing, workspace, written
 from schemaloom.llm import decontaminate, line_dedup, packing, simhash, toxicity
-from schemaloom.llm.common import table, workspace, written
+from schemaloom.llm.common import table
 from schemaloom.llm.queries import tokenizer_file
 
 TOKENIZER = "word_bpe_49k.json"
@@ -58,7 +59,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    path = workspace(spark, "pipeline")
+    path, last = workspace(spark, "pipeline"), None
     for n, (name, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"{path}/{n}-{name}")
+        with passing(spark):  # what the stage writes in between goes once its rows are written
+            docs = written(stage(spark, docs, sf_dir), f"{path}/{n}-{name}")
+        if last:
+            delete_path(spark, last)
+        last = f"{path}/{n}-{name}"
     return docs

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -27,20 +26,41 @@ class LexicalEmbedder:
 
     def __init__(self, width: int = 256, sizes: tuple[int, ...] = (3, 4)):
         self.width, self.sizes = width, sizes
-        self.name = f"lexical-{width}-{'-'.join(map(str, sizes))}"
+        self.name = f"lexical2-{width}-{'-'.join(map(str, sizes))}"
 
     def embed_query(self, text: str) -> list[float]:
         return self.embed_documents([text])[0].tolist()
 
     def embed_documents(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.width))
-        for row, text in zip(out, texts, strict=True):
-            own = f" {' '.join((text or '').lower().split())} ".encode()
-            grams = [zlib.crc32(own[i : i + n]) % self.width for n in self.sizes for i in range(len(own) - n + 1)]
-            if grams:
-                row += np.log1p(np.bincount(grams, minlength=self.width))
-                row /= np.linalg.norm(row) or 1.0
-        return out
+        own = [f" {' '.join((t or '').lower().split())} ".encode("utf-8", "replace") for t in texts]
+        data = np.frombuffer(b"".join(own), np.uint8).astype(np.uint64)
+        sizes = np.array([len(x) for x in own], np.int64)
+        row, left = np.repeat(np.arange(len(own)), sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))
+        counts = np.zeros(len(own) * self.width)
+        for n in self.sizes:
+            h = np.full(max(0, len(data) - n + 1), n, np.uint64)
+            for i in range(n):
+                h = (h ^ data[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            inside = np.flatnonzero(left[: len(h)] >= n)  # grams that end in their own text
+            place = row[inside] * self.width + (h[inside] % np.uint64(self.width)).astype(np.int64)
+            counts += np.bincount(place, minlength=len(counts))
+        out = np.log1p(counts).reshape(len(own), self.width)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+
+class LetterEmbedder:
+    """How often each of a-z and 0-9 occurs, whatever the case: small vectors that SQL can compute too."""
+
+    name, width = "letters-36", 36
+
+    def embed_documents(self, texts: list[str]) -> np.ndarray:
+        own = [(t or "").lower().encode("utf-8", "replace") for t in texts]
+        row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        data = np.frombuffer(b"".join(own), np.uint8).astype(np.int64)
+        place = np.where((data >= 97) & (data < 123), data - 97, np.where((data >= 48) & (data < 58), data - 22, -1))
+        known = place >= 0
+        return np.bincount(row[known] * 36 + place[known], minlength=36 * len(own)).reshape(len(own), 36).astype(float)
 
 
 class TransformerEmbedder:
@@ -95,7 +115,9 @@ class CollectionExists(Exception):
 
 
 class VectorStore:
-    """Collections of (target_ord, text, vector) as Parquet folders, one for each content and embedder.
+    """Collections of (id, target_ord, text, vector) as Parquet folders, one for each content and embedder.
+
+    ``id`` tells the rows of a collection apart, which may hold several models with the same ordinals.
 
     A folder's name carries a hash of the texts and the embedder's name, so a changed model never
     meets old vectors.
@@ -105,8 +127,9 @@ class VectorStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def path(self, texts: DataFrame, embedder: Embedder) -> str:
-        digest = texts.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("target_ord", "text")).alias("h")).first()
-        return f"{self.root}/{hashlib.sha256(f'{digest.n}:{digest.h}:{embedder.name}'.encode()).hexdigest()[:32]}"
+        row = [F.xxhash64(F.lit(seed), F.col("target_ord"), F.col("text").isNull(), F.col("text")).cast("decimal(20,0)") for seed in (1, 2)]
+        digest = texts.agg(F.count(F.lit(1)).alias("n"), *[F.sum(h).alias(f"h{i}") for i, h in enumerate(row)]).first()
+        return f"{self.root}/{hashlib.sha256(f'{digest.n}:{digest.h0}:{digest.h1}:{embedder.name}'.encode()).hexdigest()[:32]}"
 
     def _exists(self, path: str) -> bool:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
@@ -120,7 +143,8 @@ class VectorStore:
                 raise CollectionExists(path)
             if not force:
                 return self.spark.read.parquet(path)
-        texts.select("target_ord", "text", embedded(F.col("text"), embedder).alias("vector")).write.mode("overwrite").parquet(path)
+        own = texts.select(F.monotonically_increasing_id().alias("id"), "target_ord", "text", embedded(F.col("text"), embedder).alias("vector"))
+        own.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.functions.embed import Embedder, LexicalEmbedder, VectorStore, embedded
+from schemaloom.functions.scratch import workspace, written
 from schemaloom.functions.text import curie, parse_line
 
 from .models import Models, documents
@@ -49,7 +50,7 @@ class ExampleApproach(Approach):
 class SimilarityApproach(Approach):
     """Nearest lines of the target by an embedder's vectors.
 
-    Source texts are the rendered lines. The source's description is given raw; what is told of the
+    A target may be several models, whose lines are searched together. Source texts are the rendered lines. The source's description is given raw; what is told of the
     target is parsed back from its line. Sources without a match have no rows.
     """
 
@@ -57,18 +58,21 @@ class SimilarityApproach(Approach):
         self.embedder, self.store, self.k, self.threshold, self.strategy = embedder or LexicalEmbedder(), store, k, threshold, strategy
 
     def _targets(self, target: Models, force: bool) -> DataFrame:
+        """(id, text, vector) of all target models' lines, computed once."""
         texts = documents(target).select("target_ord", "text")
         if self.store is not None:
             return self.store.populate(texts, self.embedder, force)
-        return texts.withColumn("vector", embedded(F.col("text"), self.embedder))
+        spark = texts.sparkSession
+        own = texts.select(F.monotonically_increasing_id().alias("id"), "text", embedded(F.col("text"), self.embedder).alias("vector"))
+        return written(own, workspace(spark, "targets"))
 
     def suggest(self, source: Models, target: Models, must_match: bool = False, force: bool = False, **options) -> DataFrame:
         targets = self._targets(target, force)
-        props = source.properties.withColumn("id", F.xxhash64("model_id", "node_ord", "prop_ord"))
-        queries = props.select("id", embedded(F.col("npd"), self.embedder).alias("vector"))
+        props = source.properties.withColumns({"id": F.monotonically_increasing_id(), "vector": embedded(F.col("npd"), self.embedder)})
+        props = written(props, workspace(props.sparkSession, "sources"))  # numbered and embedded once
         found = top_k(
-            queries,
-            targets.select(F.col("target_ord").alias("id"), "vector"),
+            props.select("id", "vector"),
+            targets.select("id", "vector"),
             options.get("k", self.k),
             options.get("threshold", self.threshold),
             strategy=options.get("strategy", self.strategy),
@@ -76,7 +80,7 @@ class SimilarityApproach(Approach):
         if must_match and found.isEmpty():
             raise NothingFound("no property of the source has a match")
         t = parse_line(F.col("text"))
-        told = targets.select(F.col("target_ord").alias("target_id"), t.alias("t"))
+        told = targets.select(F.col("id").alias("target_id"), t.alias("t"))
         return (
             found.join(props, found["source_id"] == props["id"])
             .join(told, "target_id")
@@ -113,10 +117,14 @@ def display_table(suggested: DataFrame) -> DataFrame:
 PREDICATE, JUSTIFICATION = "skos:relatedMatch", "semapv:UnspecifiedMatching"
 
 
-def mapping_rows(suggested: DataFrame, predicate: str = PREDICATE, justification: str = JUSTIFICATION) -> DataFrame:
-    """Suggestions as rows of a mapping set."""
+MAPPING_COLUMNS = ["subject_id", "subject_label", "predicate_id", "object_id", "object_label", "mapping_justification", "similarity_score"]
+
+
+def mapping_rows(suggested: DataFrame, predicate: str = PREDICATE, justification: str = JUSTIFICATION, keep: list[str] | None = None) -> DataFrame:
+    """Suggestions as rows of a mapping set, after the columns to keep."""
     subject, object_ = (F.concat(f"{s}_node", F.lit("."), f"{s}_property") for s in ("source", "target"))
     return suggested.select(
+        *(keep or []),
         curie(subject).alias("subject_id"),
         subject.alias("subject_label"),
         F.lit(predicate).alias("predicate_id"),

@@ -48,9 +48,12 @@ def _entries(json: Column) -> Column:
     """The object's entries as (ord, key, value) in document order; the last of repeated keys has the value."""
 
     def of(pairs: Column) -> Column:
+        as_they_are = F.transform(pairs, lambda x, i: F.struct(i.cast("int").alias("ord"), x["key"].alias("key"), x["value"].alias("value")))
+
         def told_apart(keys: Column) -> Column:
             last = F.filter(pairs, lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), x["key"]))
-            return F.transform(last, lambda x: F.struct((F.array_position(keys, x["key"]) - 1).cast("int").alias("ord"), x["key"].alias("key"), x["value"].alias("value")))
+            by_last = F.transform(last, lambda x: F.struct((F.array_position(keys, x["key"]) - 1).cast("int").alias("ord"), x["key"].alias("key"), x["value"].alias("value")))
+            return F.when(F.size(F.array_distinct(keys)) == F.size(keys), as_they_are).otherwise(by_last)  # only repeated keys are looked for one by one
 
         return let(F.transform(pairs, lambda x: x["key"]), told_apart)
 
@@ -99,8 +102,9 @@ def _finish(models: DataFrame, rows: DataFrame, fits: Column, ignore: list[str])
     """
     required = F.col("property_name").isNull() | F.col("property_description").isNull() | F.col("property_type").isNull()
     broken = F.col("node_name").isNull() | F.col("node_description").isNull() | F.col("broken") | (F.col("prop_ord").isNotNull() & required)
-    marked = rows.withColumn("__bad", F.bool_or(F.coalesce(broken, F.lit(True))).over(Window.partitionBy("model_id")))
-    ok = marked.where(~F.col("__bad"))
+    marked = rows.withColumn("__bad", F.coalesce(broken, F.lit(True)))
+    bad = marked.where("__bad").select("model_id").distinct()
+    ok = rows.join(bad.withColumnRenamed("model_id", "__id"), F.col("model_id").eqNullSafe(F.col("__id")), "left_anti")  # the ids of bad models are joined, so that the others' rows stay where they are if those are few
     nodes = ok.where(F.coalesce("prop_ord", F.lit(0)) == 0).select("model_id", "node_ord", "node_name", "node_description", "links", "node_metadata").dropDuplicates(["model_id", "node_ord"])
     properties = ok.where(F.col("prop_ord").isNotNull())
     if ignore:
@@ -109,9 +113,9 @@ def _finish(models: DataFrame, rows: DataFrame, fits: Column, ignore: list[str])
         *"model_id node_ord prop_ord node_name property_name property_description property_type type_is_list property_values additional_metadata".split(),
         render_line(F.col("node_name"), F.col("property_name"), F.col("property_type"), F.col("property_description")).alias("npd"),
     )
-    bad = marked.groupBy("model_id").agg(F.bool_or("__bad").alias("bad"))
     shaped = models.select("model_id", F.coalesce(fits, F.lit(False)).alias("fits"))
-    valid = shaped.join(bad, "model_id", "left").select("model_id", (F.col("fits") & ~F.coalesce("bad", F.lit(False))).alias("valid"))
+    told = bad.select(F.col("model_id").alias("__id"), F.lit(True).alias("bad"))
+    valid = shaped.join(told, F.col("model_id").eqNullSafe(F.col("__id")), "left").select("model_id", (F.col("fits") & ~F.coalesce("bad", F.lit(False))).alias("valid"))
     return Models(nodes, properties, valid)
 
 

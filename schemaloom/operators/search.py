@@ -13,6 +13,8 @@ from schemaloom.functions.vectors import cosine, l2_normalise
 #: Bytes of target vectors that one broadcast may hold; more are met block by block.
 MAX_BROADCAST = 256 * 1024 * 1024
 BLOCK_ROWS = 2048
+#: Targets that one product of matrices covers; 256 queries by so many are 32 MB.
+TILE = 16_384
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -22,6 +24,9 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 def _best(q: np.ndarray, t: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, threshold: float | None, skip_self: bool):
     """(query row, target id, similarity) of each query's k best targets; ties go to the smaller id."""
+    if len(t) > TILE:  # a product of bounded size at a time, and the best so far
+        parts = [_best(q, t[i : i + TILE], ids[i : i + TILE], own, k, threshold, skip_self) for i in range(0, len(t), TILE)]
+        return _best_of(parts, k)
     scores = np.round(q @ t.T, 12)
     scores[np.isnan(scores)] = -np.inf
     if skip_self:
@@ -37,12 +42,25 @@ def _best(q: np.ndarray, t: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int
     values = scores[rows, columns]
     order = np.lexsort((ids[columns], -values, rows))
     rows, columns, values = rows[order], columns[order], values[order]
-    first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1] if len(rows) else np.zeros(0, np.int64)
-    rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
-    keep = rank < k
+    keep = _rank(rows) < k
     return rows[keep], ids[columns[keep]], values[keep]
 
 
+def _rank(rows: np.ndarray) -> np.ndarray:
+    """The place of each element among its equals, which lie together."""
+    first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1] if len(rows) else np.zeros(0, np.int64)
+    return np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
+
+
+def _best_of(parts: list[tuple], k: int) -> tuple:
+    """The k best of each query's results against several sets of targets."""
+    rows, ids, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((ids, -values, rows))
+    rows, ids, values = rows[order], ids[order], values[order]
+    keep = _rank(rows) < k
+    return rows[keep], ids[keep], values[keep]
+
+
 def _matrix(batch, column: int) -> np.ndarray:
     lists = batch.column(column)
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -65,10 +83,11 @@ def _usable(rows: DataFrame, id_: str, vector: str) -> DataFrame:
 
 def _by_matrix(queries: DataFrame, targets: DataFrame, k: int, threshold: float | None, skip_self: bool) -> DataFrame:
     """One broadcast matrix of all targets, whose size the caller has checked."""
-    table = targets.orderBy("id").toArrow().combine_chunks()
+    table = targets.toArrow().combine_chunks()
     ids = table.column("id").to_numpy()
+    order = np.argsort(ids, kind="stable")
     flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, _unit(flat.reshape(len(ids), -1).astype(np.float64)) if len(ids) else None))
+    shared = queries.sparkSession.sparkContext.broadcast((ids[order], _unit(flat.reshape(len(ids), -1).astype(np.float64)[order]) if len(ids) else None))
 
     def search(batches) -> Iterator:
         ids, matrix = shared.value
@@ -98,15 +117,28 @@ def _in_blocks(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _by_blocks(queries: DataFrame, targets: DataFrame, k: int, threshold: float | None, skip_self: bool) -> DataFrame:
-    """Blocks of queries against blocks of targets; each pair of blocks gives k rows a query at most."""
+    """Blocks of queries against blocks of targets.
+
+    A task keeps the best of a block of queries for as long as its pairs follow each other, so it
+    gives k rows a query for each part of the targets that it meets, not for each block.
+    """
     pairs = _in_blocks(queries, "q").crossJoin(_in_blocks(targets, "t"))
 
     def search(batches) -> Iterator:
+        open_block, best = None, None
         for batch in batches:
             for q_ids, q, t_ids, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(t_ids, np.int64)
                 a, b = np.frombuffer(q).reshape(len(own), -1), np.frombuffer(t).reshape(len(ids), -1)
-                yield _arrow(own, *_best(a, b, ids, own, k, threshold, skip_self))
+                found = _best(a, b, ids, own, k, threshold, skip_self)
+                if open_block is not None and q_ids == open_block:
+                    best = _best_of([best, found], k)
+                    continue
+                if open_block is not None:
+                    yield _arrow(np.frombuffer(open_block, np.int64), *best)
+                open_block, best = q_ids, found
+        if open_block is not None:
+            yield _arrow(np.frombuffer(open_block, np.int64), *best)
 
     return pairs.mapInArrow(search, _FOUND)
 

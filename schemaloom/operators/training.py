@@ -162,8 +162,8 @@ def exact_split(rows: DataFrame, line: str, percents: list[int], seed: int = 0)
     """
     if sum(percents) != 100:
         raise ValueError("percentages must add up to 100")
-    hashed = rows.withColumn("__h", F.xxhash64(F.lit(seed), F.col(line))).withColumn("__b", F.shiftright("__h", 54))
-    counts = hashed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))  # 1024 rows at most
+    hashed = rows.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(line).cast("string"), F.lit(""))))).withColumn("__b", F.substring("__h", 1, 3))
+    counts = hashed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))  # 4096 rows at most
     before = counts.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__total"))
     rank = F.row_number().over(Window.partitionBy("__b").orderBy("__h", line)) - 1
     placed = hashed.withColumn("__r", rank).join(F.broadcast(before), "__b").withColumn("__at", F.col("__before") + F.col("__r"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,13 +15,14 @@ from schemaloom.functions.embed import Embedder, LexicalEmbedder, embedded
 from schemaloom.functions.text import parse_line
 from schemaloom.operators import metrics as m
 from schemaloom.operators.joins import finished_anti
-from schemaloom.operators.models import documents, parse
+from schemaloom.operators.approach import Approach
+from schemaloom.operators.models import Models, documents, parse
 from schemaloom.operators.search import _best, _unit
 from schemaloom.sources.readers import expected_mappings
 from schemaloom.sources.writers import with_metrics
 
-#: Parts that the cases of one target are dealt to, so that a popular target is not one task.
-SALTS = 8
+#: Source properties that one task compares with a target's; a popular target's are dealt to as many tasks as that takes.
+PART_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -29,19 +32,23 @@ class Evaluation:
     lines: DataFrame  # the test cases' JSON with their metrics
 
 
-def suggest_all(cases: DataFrame, embedder: Embedder | None = None, k: int = 10, threshold: float | None = 0.0, source_format: str = "unknown", target_format: str = "unknown") -> DataFrame:
+def suggest_all(cases: DataFrame, embedder: Embedder | None = None, k: int = 10, threshold: float | None = 0.0, source_format: str | Callable[[DataFrame], Models] = "unknown", target_format: str | Callable[[DataFrame], Models] = "unknown") -> DataFrame:
     """Suggestions for every case against its own target model; each distinct target is parsed and embedded once.
 
+    A format is a dialect's name, or a function that makes models of (model_id, json) rows.
+
     ``cases``: test_id, source_model, target_model, target_key.
     """
     embedder = embedder or LexicalEmbedder()
-    source = parse(cases.select(F.col("test_id").alias("model_id"), F.col("source_model").alias("json")), source_format)
+    source = _parsed(cases.select(F.col("test_id").alias("model_id"), F.col("source_model").alias("json")), source_format)
     targets = cases.groupBy("target_key").agg(F.first("target_model").alias("json"))
-    target = documents(parse(targets.select(F.col("target_key").alias("model_id"), "json"), target_format))
+    target = documents(_parsed(targets.select(F.col("target_key").alias("model_id"), "json"), target_format))
     lines = target.select(F.col("model_id").alias("target_key"), "target_ord", "text", embedded(F.col("text"), embedder).alias("tv"))
     props = source.properties.withColumnRenamed("model_id", "test_id").join(cases.select("test_id", "target_key"), "test_id")
-    queries = props.withColumn("salt", F.pmod(F.xxhash64("test_id"), F.lit(SALTS))).withColumn("qv", embedded(F.col("npd"), embedder))
-    salted = lines.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    parts = props.groupBy("target_key").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("parts"))
+    dealt = props.join(parts, "target_key").withColumn("salt", F.pmod(F.xxhash64("test_id", "node_ord", "prop_ord"), F.col("parts")))
+    queries = dealt.withColumn("qv", embedded(F.col("npd"), embedder))
+    salted = lines.join(parts, "target_key").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
     kept = ["test_id", "node_ord", "prop_ord", "node_name", "property_name", "property_type", "property_description"]
     kinds = {f.name: f.dataType.simpleString() for f in props.schema}
 
@@ -69,9 +76,31 @@ def suggest_all(cases: DataFrame, embedder: Embedder | None = None, k: int = 10,
     )
 
 
-def run_benchmark(cases: DataFrame, embedder: Embedder | None = None, column: str = "custom_metrics", **options) -> Evaluation:
-    """Suggest, score and append the metrics to every case's line."""
-    suggested = suggest_all(cases, embedder, **options)
+def suggest_by(cases: DataFrame, approach: Approach, source_format: str = "unknown", target_format: str = "unknown", most: int = 1000, **options) -> DataFrame:
+    """Suggestions of any approach for every case, one distinct target model (of at most ``most``) after another."""
+    keys = [r.target_key for r in cases.select("target_key").distinct().limit(most + 1).collect()]
+    if len(keys) > most:
+        raise ValueError(f"more than {most} target models")
+    found = []
+    for key in sorted(keys, key=str):
+        own = cases.where(F.col("target_key") == key)
+        source = own.select(F.col("test_id").alias("model_id"), F.col("source_model").alias("json"))
+        target = own.select(F.col("target_key").alias("model_id"), F.col("target_model").alias("json")).limit(1)
+        found.append(approach.suggest(_parsed(source, source_format), _parsed(target, target_format), **options))
+    return reduce(DataFrame.unionByName, found) if found else suggest_all(cases.limit(0))
+
+
+def _parsed(models: DataFrame, format: str | Callable[[DataFrame], Models]) -> Models:
+    """Models by a named dialect, or by a function of one's own from (model_id, json)."""
+    return format(models) if callable(format) else parse(models, format)
+
+
+def run_benchmark(cases: DataFrame, embedder: Embedder | None = None, column: str = "custom_metrics", approach: Approach | None = None, **options) -> Evaluation:
+    """Suggest, score and append the metrics to every case's line, by vectors or by an approach of one's own.
+
+    ``mapping_set_texts`` of ``schemaloom.sources.writers`` gives each case's suggestions as a mapping set.
+    """
+    suggested = suggest_by(cases, approach, **options) if approach else suggest_all(cases, embedder, **options)
     scored = m.case_metrics(suggested, expected_mappings(cases), cases)
     return Evaluation(suggested, scored, with_metrics(cases, scored, column=column))
 

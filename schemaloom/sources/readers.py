@@ -57,7 +57,7 @@ def benchmark_cases(lines: DataFrame) -> DataFrame:
     named = ["input_source_model", "input_target_model", "harmonized_mapping"]
     cases = lines.where(F.from_json("line", "map<string,string>").isNotNull()).select("path", "line_no", "line", *_fields(F.col("line"), named))
     return cases.select(
-        F.xxhash64("path", "line_no").alias("test_id"),
+        F.concat_ws(":", "path", "line_no").alias("test_id"),
         "path",
         "line_no",
         "line",

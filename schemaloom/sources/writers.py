@@ -7,17 +7,20 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.operators.approach import mapping_rows
+from schemaloom.operators.approach import MAPPING_COLUMNS, mapping_rows
 
 
 def with_metrics(cases: DataFrame, metrics: DataFrame, key: str = "test_id", column: str = "custom_metrics", line: str = "line") -> DataFrame:
-    """Each case's JSON line with its metrics as one more field; the other fields stay as they are.
+    """Each case's JSON line with its metrics as a field; one of that name is replaced.
 
-    The field is put before the closing brace of the object, so nothing else is rewritten.
+    The field is put before the closing brace of the object, so nothing else is rewritten. Only in a
+    line that has the field already the others are written anew, with equal values.
     """
     packed = metrics.select(key, F.to_json(F.struct(*[c for c in metrics.columns if c != key])).alias("__m"))
     joined = cases.join(packed, key, "left")
-    body = F.regexp_replace(F.rtrim(line), r"\}\s*$", "")
+    known = F.array_contains(F.map_keys(F.from_json(line, "map<string,string>")), column)
+    others = F.to_json(F.map_filter(F.from_json(line, "map<string,variant>"), lambda k, _: k != column))
+    body = F.regexp_replace(F.rtrim(F.when(known, others).otherwise(F.col(line))), r"\}\s*$", "")
     comma = F.when(F.regexp_like(body, F.lit(r"^\s*\{\s*$")), F.lit("")).otherwise(F.lit(", "))
     added = F.concat(body, comma, F.lit(f'"{column}": '), F.coalesce("__m", F.lit("null")), F.lit("}"))
     return joined.withColumn(line, added).drop("__m")
@@ -102,6 +105,22 @@ def write_mapping_set(spark: SparkSession, suggested: DataFrame, path: str, head
     top.unionByName(body).orderBy("part", "at", "tie", "line").select("line").write.mode(mode).text(path)
 
 
+def mapping_set_lines(suggested: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The rows of a mapping set as tab-separated lines: keys, subject_id, object_id, line."""
+    own = suggested.withColumns({f"__k{i}": F.col(k) for i, k in enumerate(keys or [])})
+    rows = mapping_rows(own, keep=[f"__k{i}" for i in range(len(keys or []))])
+    fields = [quoted(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in rows.columns if not c.startswith("__k")]
+    return rows.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys or [])], "subject_id", "object_id", F.concat_ws("\t", *fields).alias("line"))
+
+
+def mapping_set_texts(suggested: DataFrame, key: str, comments: bool = False, head: dict[str, str] | None = None) -> DataFrame:
+    """(key, mapping_set): the suggestions of each key as the text of a whole mapping set; a case's suggestions are few."""
+    lines = mapping_set_lines(suggested, [key])
+    listed = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("subject_id", "object_id", "line"))).alias("ls"))
+    first = [*(mapping_set_head(head) if comments else []), "\t".join(MAPPING_COLUMNS)]
+    return listed.select(key, F.concat(F.lit("\n".join(first) + "\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit("\n")).alias("mapping_set"))
+
+
 def markdown_rows(rows: DataFrame, title: str, measures: list[str]) -> DataFrame:
     """A short report for each row."""
     body = F.concat_ws("\n", *[F.concat(F.lit(f"- {m}: "), F.coalesce(F.col(m).cast("string"), F.lit("not measured"))) for m in measures])
