@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from schemaloom.functions.scratch import delete_path, shared_dir, workspace, written
+
+__all__ = ["ascii_lower", "delete_path", "document_key", "indexes", "let", "null_safe_join", "read_text", "shared_dir", "table", "workspace", "write_text", "written"]
+
 #: ASCII white space, as a Java character class and as the characters themselves.
 WS_CLASS = r"[\x20\x09-\x0D]"
 WS_CHARS = " \t\n\x0b\x0c\r"
@@ -20,25 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is unset and all runs in one process, a temporary one."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        configured = "file://" + tempfile.mkdtemp(prefix="schemaloom-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system, so that any store works."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file of the shared folder, or None where there is none."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -65,29 +48,6 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"could not write {path}")
 
 
-def workspace(spark: SparkSession, purpose: str) -> str:
-    """A new folder in the shared one; deleted when the application ends."""
-    path = f"{shared_dir(spark)}/schemaloom-{purpose}-{uuid.uuid4().hex}"
-
-    def tidy() -> None:
-        try:
-            delete_path(spark, path)
-        except Exception:  # the session may be gone by then
-            pass
-
-    atexit.register(tidy)
-    return path
-
-
-def written(df: DataFrame, path: str, small: bool = False) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in a shared folder and read it back.
-
-    ``small`` rows, without texts, are first gathered into files of a usual size, rather than one from each task.
-    """
-    (df.hint("rebalance") if small else df).write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once for ``body``, so that Catalyst cannot evaluate it for every use."""
     return F.element_at(F.transform(F.array(value), body), 1)

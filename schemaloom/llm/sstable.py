@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +66,8 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
 
 
 def _bloom_places(key: bytes, bits: int) -> list[int]:
+    import xxhash
+
     a, b = xxhash.xxh64_intdigest(key, 0), xxhash.xxh64_intdigest(key, 1) | 1
     return [(a + i * b) % bits for i in range(BLOOM_HASHES)]
 
