@@ -5,8 +5,6 @@ A query applies one operator to the tables of a folder; its SQL computes the sam
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,28 +13,10 @@ from schemaloom.functions.embed import LexicalEmbedder, embedded
 from schemaloom.functions.vectors import l2_normalise, mean_pool
 from schemaloom.operators import approach, joins, metrics, models, profile, sets, training
 from schemaloom.operators.search import top_k
+from schemaloom.plans.registry import ORACLE_SQL, QUERIES, register, table
 from schemaloom.sources import readers, writers
 from schemaloom.streaming.landing import event_counts
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def register(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(query: Query) -> Query:
-        QUERIES[query.__name__] = query
-        if sql:
-            ORACLE_SQL[query.__name__] = sql
-        return query
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
 # vectors
 
 _PAIRS = """
@@ -616,3 +596,9 @@ def suggest_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = target.select(F.lit(0).cast("bigint").alias("model_id"), F.to_json(F.struct(F.array(node).alias("nodes"))).alias("json"))
     found = approach.SimilarityApproach(k=3, threshold=0.0).suggest(models.parse_simple(_part_models(spark, sf_dir)), models.parse_simple(target))
     return found.withColumn("similarity", F.round("similarity", 6))
+
+
+# the queries of the other module are registered with these
+from schemaloom.plans import catalogue_cases  # noqa: E402, F401
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -52,6 +52,30 @@ def flat(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.to_json(f"`{c}`") for c in nested})
 
 
+def json_lines_to_table(spark: SparkSession, path: str, out: str, separator: str = ",", mode: str = "errorifexists") -> list[str]:
+    """JSON lines as quoted text; the first record's keys are the header, which is returned.
+
+    Blank and broken lines are left out. A key that a later record lacks is an empty field there, and
+    one that the first record lacks is an error, before anything is written. Strings are as they are,
+    and all other values JSON.
+    """
+    lines = spark.read.text(path).select("value", F.from_json("value", "map<string,variant>").alias("m")).where("m IS NOT NULL")
+    first = lines.select(F.map_keys("m").alias("k")).first()
+    if first is None:
+        raise ValueError("no records")
+    names = list(dict.fromkeys(first.k))
+    more = lines.select(F.explode(F.array_except(F.map_keys("m"), F.array(*[F.lit(n) for n in names]))).alias("k")).first()
+    if more is not None:
+        raise ValueError(f"a record has {more.k}, which the first one has not")
+
+    def field(name: str) -> Column:
+        own = F.try_element_at("m", F.lit(name))
+        return F.when(F.schema_of_variant(own) == "STRING", F.try_variant_get(own, "$", "string")).when(~F.is_variant_null(own), F.to_json(own)).alias(name)
+
+    write_table(lines.select(*[field(n) for n in names]), out, separator, mode=mode)
+    return names
+
+
 def write_table(rows: DataFrame, path: str, separator: str = ",", null: str = "", header: bool = True, mode: str = "errorifexists") -> None:
     """Rows as quoted text; nested columns as JSON."""
     flat(rows).write.mode(mode).csv(path, sep=separator, header=header, nullValue=null, quote='"', escape='"')
