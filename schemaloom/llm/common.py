@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.functions.scratch import delete_path, shared_dir, workspace, written
+from schemaloom.functions.scratch import delete_path, read_text, shared_dir, workspace, write_text, written
 
 __all__ = ["ascii_lower", "delete_path", "document_key", "indexes", "let", "null_safe_join", "read_text", "shared_dir", "table", "workspace", "write_text", "written"]
 
@@ -22,32 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_text(spark: SparkSession, path: str) -> str | None:
-    """A small file of the shared folder, or None where there is none."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(target):
-        return None
-    stream = system.open(target)
-    try:
-        return bytes(stream.readAllBytes()).decode()
-    finally:
-        stream.close()
-
-
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replace a small file of the shared folder; readers see the old one or the new one, or for a moment none."""
-    jvm = spark.sparkContext._jvm
-    target, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stream = system.create(fresh)
-    stream.write(text.encode())
-    stream.close()
-    system.delete(target, False)
-    if not system.rename(fresh, target):
-        raise OSError(f"could not write {path}")
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once for ``body``, so that Catalyst cannot evaluate it for every use."""
     return F.element_at(F.transform(F.array(value), body), 1)
