@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# The models that are taken where none is named.
+DEFAULT_MODEL, SMALL_MODEL = "sentence-transformers/all-mpnet-base-v2", "sentence-transformers/all-MiniLM-L6-v2"
+
+
 class Embedder(Protocol):
     """Anything that turns a list of texts into vectors of one width; ``name`` tells stores apart."""
 
@@ -70,7 +74,7 @@ class TransformerEmbedder:
     the pooled output if the model has one. Texts are cut at ``max_tokens``.
     """
 
-    def __init__(self, model: str, pooling: str = "mean", normalise: bool = False, max_tokens: int = 512, width: int = 768, batch: int = 32):
+    def __init__(self, model: str = DEFAULT_MODEL, pooling: str = "mean", normalise: bool = False, max_tokens: int = 512, width: int = 768, batch: int = 32):
         self.name, self.model, self.pooling, self.normalise = f"transformer-{model}-{pooling}-{normalise}", model, pooling, normalise
         self.max_tokens, self.width, self.batch = max_tokens, width, batch
 

@@ -6,7 +6,7 @@ import csv
 import io
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from schemaloom.functions.text import parse_line, py_strip
@@ -21,14 +21,19 @@ def read_json_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file and their number in it, from 1.
+    """Lines that are not empty, with their file and their number in it, from 1.
 
-    The number is the rank of the line's place among those that the reader gives it, so files are
-    read whole: meant for files of test cases, which are small each; big ones are for ``read_json_lines``.
+    Files are read in parts: a line's number is its place in its part, in the order of reading, after
+    the lines of the file's earlier parts. Lines end at line feeds, with or without a carriage return.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("lines"))
-    each = files.select("path", F.posexplode("lines").alias("at", "line"))
-    return each.where(F.col("line") != "").select("path", (F.col("at") + 1).alias("line_no"), "line")
+    meta = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(meta["file_path"].alias("path"), meta["file_block_start"].alias("part"), F.regexp_replace("value", "\r$", "").alias("line"), F.monotonically_increasing_id().alias("at"))
+    parts = lines.groupBy("path", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("part")) - F.col("n")  # a row for each part
+    inside = F.row_number().over(Window.partitionBy("path", "part").orderBy("at"))
+    numbered = lines.withColumn("inside", inside).join(parts.select("path", "part", before.alias("before")), ["path", "part"])
+    return numbered.where(F.col("line") != "").select("path", (F.col("before") + F.col("inside")).alias("line_no"), "line")
 
 
 def _fields(line: Column, names: list[str]) -> list[Column]:
@@ -101,10 +106,13 @@ def expected_mappings(cases: DataFrame, key: str = "test_id", mapping: str = "ha
     return both.select(key, "line_ord", *told)
 
 
-def read_table(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """A table as text with a header; names are stripped and freed of tabs, and missing values are null."""
+def read_table(spark: SparkSession, path: str, separator: str | None = None, multi_line: bool = True) -> DataFrame:
+    """A table as text with a header; names are stripped and freed of tabs, and missing values are null.
+
+    Without ``multi_line`` no field holds a line feed, and large files are read in parts.
+    """
     own = separator or ("\t" if path.lower().rstrip("/").endswith(".tsv") else ",")
-    rows = spark.read.csv(path, header=True, sep=own, multiLine=True, escape='"', quote='"')
+    rows = spark.read.csv(path, header=True, sep=own, multiLine=multi_line, escape='"', quote='"')
     return null_missing(rows.toDF(*[c.strip().replace("\t", "") for c in rows.columns]))
 
 

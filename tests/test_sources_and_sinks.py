@@ -156,3 +156,33 @@ def test_streams(spark, jsonl, tmp_path):
     assert sorted(r.a for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == ["1", "2"]
     events = spark.createDataFrame([("2020-01-01 00:10:00", "a"), ("2020-01-01 00:50:00", "a"), ("2020-01-01 01:00:00", "a")], "ts string, event_type string")
     assert sorted(r.n for r in event_counts(events.withColumn("ts", F.to_timestamp("ts"))).collect()) == [1, 2]
+
+
+def test_lines_are_numbered_over_the_parts_of_a_file(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {i}\r\n" if i % 7 else "\n" for i in range(1, 2001)))
+    (tmp_path / "b.txt").write_text("only\n\nlast")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = readers.read_lines(spark, f"file://{tmp_path}").collect()
+        assert len({r.path for r in rows}) == 2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+    a = {r.line_no: r.line for r in rows if r.path.endswith("a.txt")}
+    assert a == {i: f"line {i}" for i in range(1, 2001) if i % 7}
+    assert {r.line_no: r.line for r in rows if r.path.endswith("b.txt")} == {1: "only", 3: "last"}
+
+
+def test_json_lines_to_a_table_by_the_first_record(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('\n{"b": "x, y", "a": 1.5}\nbroken\n{"a": {"c": [1]}}\n{"b": null}\n')
+    assert writers.json_lines_to_table(spark, f"file://{tmp_path}/a.jsonl", f"file://{tmp_path}/out") == ["b", "a"]
+    rows = sorted((r.b or "", r.a or "") for r in spark.read.csv(f"file://{tmp_path}/out", header=True, escape='"').collect())
+    assert rows == [("", ""), ("", '{"c":[1]}'), ("x, y", "1.5")]
+    (tmp_path / "b.jsonl").write_text('{"a": 1}\n{"a": 2, "more": 3}\n')
+    with pytest.raises(ValueError, match="more"):
+        writers.json_lines_to_table(spark, f"file://{tmp_path}/b.jsonl", f"file://{tmp_path}/out2")
+    (tmp_path / "c.jsonl").write_text("\n")
+    with pytest.raises(ValueError, match="no records"):
+        writers.json_lines_to_table(spark, f"file://{tmp_path}/c.jsonl", f"file://{tmp_path}/out3")
