@@ -190,10 +190,15 @@ class Reader:
         return found
 
 
+#: Hadoop's names of object stores, and those that pyarrow knows; others, such as file, hdfs, gs and abfs, are the same.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+
+
 def _file_system(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    scheme, colon, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}{colon}{rest}")
 
 
 def open_shard(path: str) -> Reader:
@@ -277,7 +282,7 @@ def read_table(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
                 shard.file.close()
 
-    spread = files.repartition(max(1, manifest.count()), "path")
+    spread = files.repartition(max(1, manifest.count()))  # dealt one by one, so that each task has a file
     return spread.mapInArrow(read, ", ".join(f"{n} {'binary' if n == 'ids' else 'bigint'}" for n in names))
 
 
