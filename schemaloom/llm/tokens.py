@@ -22,7 +22,7 @@ CACHE_PARTS = 1_390_000
 #: Bytes of the longest part that is kept.
 LONGEST_PART = 64
 #: Bytes of text that are encoded together; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: New parts that the tokenizer is given as one text, between separators.
 JOINED = 128
 
@@ -92,7 +92,10 @@ def _plain(added: dict) -> bool:
 def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs flat[start : start + length], one after another."""
     ends = np.cumsum(lengths, dtype=np.int64)
-    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+    small = np.int32 if len(flat) < 1 << 31 and (not len(ends) or ends[-1] < 1 << 31) else np.int64
+    at = np.arange(ends[-1] if len(ends) else 0, dtype=small)
+    at += np.repeat((starts - (ends - lengths)).astype(small), lengths)
+    return flat[at]
 
 
 class _Cache:
@@ -222,7 +225,7 @@ class Encoder:
         else:
             long = np.zeros(0, bool)
         known = row >= 0
-        length = np.zeros(len(distinct), np.int64)
+        length = np.zeros(len(distinct), np.int32)
         start = np.zeros(len(distinct), np.int64)
         length[known] = cache.length[row[known]]
         flat = _gathered(cache.flat, cache.start[row[known]], length[known])
@@ -233,7 +236,7 @@ class Encoder:
             length[new[long]] = n
             flat = np.concatenate([flat, once])
         n = length[which]
-        upto = np.concatenate([[0], np.cumsum(n)])
+        upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
         return _gathered(flat, start[which], n), upto[np.searchsorted(at, offsets)]
 
     def encode_column(self, column) -> Iterator[bytes]:

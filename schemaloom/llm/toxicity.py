@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,8 @@ from .common import workspace, written
 FEATURES, SIZES = 1 << 18, (3, 4, 5)
 #: Characters hashed at once; bounds the memory of a long text.
 CHUNK = 1 << 20
+#: Texts that a worker holds as strings at once.
+TEXTS = 256
 #: The bound of the labelled sample: so many training documents of each class, those of the smallest hash.
 PER_CLASS = 1500
 #: Of five folds by the identifier's CRC-32, the one that is never trained on.
@@ -120,8 +122,6 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     useful = docs.sparkSession.sparkContext.broadcast(_telling(sample))  # a flag for each feature
 
     def featurize(batches) -> Iterator:
-        import pyarrow as pa
-
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
@@ -140,8 +140,6 @@ def _telling(sample: DataFrame) -> np.ndarray:
     """The features whose log-count ratio differs from 0, counted on the executors: the driver gets two numbers for each feature at most."""
 
     def count(batches) -> Iterator:
-        import pyarrow as pa
-
         counts = np.zeros((2, FEATURES), np.int64)
         texts = np.zeros(2, np.int64)
         for batch in batches:
@@ -165,10 +163,11 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``docs`` with all columns and the score of each whole text, from 0 to 1; null texts score as empty ones."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES numbers
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         own = shared.value
-        return pd.Series([own.score(t) for t in texts], dtype="float64")
+        some = (texts.slice(i, TEXTS).to_pylist() for i in range(0, len(texts), TEXTS))
+        return pa.array([own.score(t) for part in some for t in part], pa.float64())
 
     return docs.withColumn(column, score(F.col("text")))
 
