@@ -22,7 +22,7 @@ CACHE_PARTS = 1_390_000
 #: Bytes of the longest part that is kept.
 LONGEST_PART = 64
 #: Bytes of text that are encoded together; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 #: New parts that the tokenizer is given as one text, between separators.
 JOINED = 128
 
@@ -211,7 +211,7 @@ class Encoder:
         buffers = [None, pa.py_buffer(np.append(at, size)), pa.py_buffer(np.ascontiguousarray(own))]
         parts = pa.Array.from_buffers(pa.large_binary(), len(at), buffers).dictionary_encode()
         distinct, which = parts.dictionary.to_pylist(), parts.indices.to_numpy()
-        if len(self.cache) > self.most:
+        if len(self.cache) + len(distinct) > self.most:  # before the dictionary doubles
             self.cache = _Cache()
         cache = self.cache
         row = np.fromiter(map(cache.row.get, distinct, repeat(-1)), np.int64, len(distinct))
