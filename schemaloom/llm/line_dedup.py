@@ -60,8 +60,8 @@ class LineRuns:
     def _table(self, run: str, batches: bool = False) -> str:
         if run not in self._tables:
             name = f"schemaloom_{uuid.uuid4().hex}"
-            columns, part = ("line STRING, n BIGINT, batch INT", "PARTITIONED BY (batch)") if batches else ("line STRING, n BIGINT", "")
-            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {part} CLUSTERED BY (line) SORTED BY (line) INTO {self.buckets} BUCKETS LOCATION '{run}'")
+            columns = "line STRING, n BIGINT, batch INT" if batches else "line STRING, n BIGINT"
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (line) SORTED BY (line) INTO {self.buckets} BUCKETS LOCATION '{run}'")
             self._tables[run] = name
         return self._tables[run]
 
@@ -114,7 +114,7 @@ class LineRuns:
         counted = rows.groupBy("line", "batch").agg(F.count(F.lit(1)).alias("n"))
         landing = f"{self.path}/landing-{uuid.uuid4().hex}"
         counted.repartition(self.buckets, "line").select("line", "n", "batch").write.insertInto(self._table(landing, batches=True))
-        self.spark.sql(f"MSCK REPAIR TABLE {self._table(landing)}")
+        self.spark.catalog.refreshTable(self._table(landing))
         for k in range(batches if batch is not None else 1):
             fresh = self.spark.table(self._table(landing)).where(F.col("batch") == k)
             if min_docs is not None and self._runs():
@@ -145,7 +145,7 @@ class LineRuns:
 
 def _applied(docs: DataFrame, runs: LineRuns, min_docs: int) -> DataFrame:
     """``docs`` with all columns and __sl_before and __sl_kept, the lines of the text and those that stay."""
-    frequent = written(runs.frequent(min_docs), workspace(runs.spark, "frequent-lines"))  # without buckets, so that a line of many documents can be split
+    frequent = written(runs.frequent(min_docs), workspace(runs.spark, "frequent-lines"), small=True)  # without buckets, so that a line of many documents can be split
     runs.close()
     probes = _with_lines(docs).select(F.col("doc_id").alias("__sl_id"), F.col("__h").alias("__sl_h"), F.explode(_distinct_keys(F.col("keys"))).alias("line"))
     going = probes.join(frequent.hint("merge"), "line", "left_semi").groupBy("__sl_id", "__sl_h").agg(F.collect_set("line").alias("__sl_gone"))
