@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, line_dedup, packing, quality, secret_scan, sharding, simhash, sstable, toxicity
+from . import clustering, decontaminate, html_extract, line_dedup, packing, quality, secret_scan, sharding, simhash, sstable, toxicity
 from .common import table
 
 
@@ -33,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": lambda spark, sf_dir: html_extract.op8_html_extraction(table(spark, sf_dir, "pages")),
         "op9_decontamination": lambda spark, sf_dir: decontaminate.op9_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op10_token_output": lambda spark, sf_dir: sstable.op10_token_output(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")),
+        "op11_clustering": lambda spark, sf_dir: clustering.op11_clustering(table(spark, sf_dir, "embeddings")),
     }
 
 
@@ -41,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_secret_scan": secret_scan.OP3_SQL,
         "op4_line_dedup": line_dedup.OP4_SQL,
         "op9_decontamination": decontaminate.OP9_SQL,
+        "op11_clustering": clustering.OP11_SQL,
     }
