@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clustering, decontaminate, html_extract, line_dedup, packing, quality, secret_scan, sharding, simhash, sstable, toxicity
+from . import clustering, decontaminate, html_extract, line_dedup, mixing, packing, quality, secret_scan, sharding, simhash, sstable, toxicity
 from .common import table
 
 
@@ -34,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": lambda spark, sf_dir: decontaminate.op9_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op10_token_output": lambda spark, sf_dir: sstable.op10_token_output(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")),
         "op11_clustering": lambda spark, sf_dir: clustering.op11_clustering(table(spark, sf_dir, "embeddings")),
+        "op12_mixing": _documents(mixing.op12_mixing),
     }
 
 
