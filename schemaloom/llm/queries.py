@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clustering, decontaminate, html_extract, line_dedup, mixing, packing, quality, secret_scan, sharding, simhash, sstable, toxicity
+from . import clustering, decontaminate, html_extract, line_dedup, mixing, packing, phrases, quality, secret_scan, sharding, simhash, sstable, toxicity
 from .common import table
 
 
@@ -35,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_output": lambda spark, sf_dir: sstable.op10_token_output(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")),
         "op11_clustering": lambda spark, sf_dir: clustering.op11_clustering(table(spark, sf_dir, "embeddings")),
         "op12_mixing": _documents(mixing.op12_mixing),
+        "op13_phrases": _documents(phrases.op13_phrases),
     }
 
 
@@ -44,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": line_dedup.OP4_SQL,
         "op9_decontamination": decontaminate.OP9_SQL,
         "op11_clustering": clustering.OP11_SQL,
+        "op13_phrases": phrases.OP13_SQL,
     }
