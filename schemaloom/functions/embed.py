@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -11,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from schemaloom.functions.scratch import delete_path, read_text, write_text, written
 
 # The models that are taken where none is named.
 DEFAULT_MODEL, SMALL_MODEL = "sentence-transformers/all-mpnet-base-v2", "sentence-transformers/all-MiniLM-L6-v2"
@@ -118,18 +121,102 @@ class CollectionExists(Exception):
     """The collection has vectors and was not to be filled anew."""
 
 
+class VectorRuns:
+    """A growing store of vectors by their texts, for one embedder, in a shared folder.
+
+    Each addition embeds only the texts that no run holds and writes them as a run of the lowest level;
+    when a level has ``fanout`` runs they are merged into one of the next, so a store of n additions
+    has about fanout * log(n) runs. The manifest names the runs and is replaced at the end of each
+    change: what a lost driver has left half done is in folders that it does not name, which
+    ``tidy`` deletes. One application adds at a time. A null text is the empty one.
+    """
+
+    _ROWS = "key binary, text string, vector array<double>, addition bigint"
+
+    def __init__(self, spark: SparkSession, path: str, embedder: Embedder, fanout: int = 8):
+        self.spark, self.path, self.embedder = spark, path.rstrip("/"), embedder
+        known = read_text(spark, f"{self.path}/manifest.json")
+        state = json.loads(known) if known else {"embedder": embedder.name, "fanout": max(2, fanout), "additions": 0, "levels": []}
+        if state["embedder"] != embedder.name:
+            raise ValueError(f"{path} holds vectors of {state['embedder']}, not of {embedder.name}")
+        self.fanout, self.additions, self.levels = state["fanout"], state["additions"], state["levels"]
+
+    def _save(self) -> None:
+        state = {"embedder": self.embedder.name, "fanout": self.fanout, "additions": self.additions, "levels": self.levels}
+        write_text(self.spark, f"{self.path}/manifest.json", json.dumps(state))
+
+    def _runs(self) -> list[str]:
+        return [f"{self.path}/{run}" for level in self.levels for run in level]
+
+    @staticmethod
+    def key(text: Column) -> Column:
+        return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+    def contents(self) -> DataFrame:
+        """key, text, vector and addition (which one, from 1, brought it) of every text."""
+        runs = self._runs()
+        return self.spark.read.schema(self._ROWS).parquet(*runs) if runs else self.spark.createDataFrame([], self._ROWS)
+
+    def add(self, texts: DataFrame, text: str = "text") -> int:
+        """Embed the texts that are new and add them as one run; returns how many these are."""
+        own = texts.select(self.key(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+        fresh = own.join(self.contents().select("key"), "key", "left_anti")
+        run = f"run-{uuid.uuid4().hex}"
+        number = F.lit(self.additions + 1).cast("bigint")
+        rows = written(fresh.select("key", "text", embedded(F.col("text"), self.embedder).alias("vector"), number.alias("addition")), f"{self.path}/{run}")
+        n = rows.count()
+        self.additions += 1
+        old: list[str] = []
+        if n:
+            self._put(0, run, old)
+        self._save()
+        for path in [*old, *([] if n else [f"{self.path}/{run}"])]:
+            delete_path(self.spark, path)
+        return n
+
+    def _put(self, level: int, run: str, old: list[str]) -> None:
+        """Name the run; a full level is merged into one run of the next. ``old`` gathers the folders that are to go."""
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) >= self.fanout:
+            merged, parts = f"run-{uuid.uuid4().hex}", [f"{self.path}/{r}" for r in self.levels[level]]
+            written(self.spark.read.schema(self._ROWS).parquet(*parts), f"{self.path}/{merged}", small=True)
+            old += parts
+            self.levels[level] = []
+            self._put(level + 1, merged, old)
+
+    def vectors(self, rows: DataFrame, text: str = "text") -> DataFrame:
+        """``rows`` with the column vector, of the texts that the store holds (others: null)."""
+        known = self.contents().select(F.col("key").alias("__key"), "vector")
+        return rows.drop("vector").withColumn("__key", self.key(F.col(text))).join(known, "__key", "left").drop("__key")
+
+    def tidy(self) -> int:
+        """Delete the runs that the manifest does not name; returns how many."""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        found = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+        stray = [f.getPath().toString() for f in found if f.isDirectory() and f.getPath().getName() not in {r.rsplit("/", 1)[1] for r in self._runs()}]
+        for path in stray:
+            delete_path(self.spark, path)
+        return len(stray)
+
+
 class VectorStore:
     """Collections of (id, target_ord, text, vector) as Parquet folders, one for each content and embedder.
 
     ``id`` tells the rows of a collection apart, which may hold several models with the same ordinals.
 
     A folder's name carries a hash of the texts and the embedder's name, so a changed model never
-    meets old vectors.
+    meets old vectors. The vectors themselves come from one growing store for each embedder, so a
+    collection that differs from others in a few lines has only these embedded.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def runs(self, embedder: Embedder) -> VectorRuns:
+        return VectorRuns(self.spark, f"{self.root}/vectors-{hashlib.sha256(embedder.name.encode()).hexdigest()[:32]}", embedder)
+
     def path(self, texts: DataFrame, embedder: Embedder) -> str:
         row = [F.xxhash64(F.lit(seed), F.col("target_ord"), F.col("text").isNull(), F.col("text")).cast("decimal(20,0)") for seed in (1, 2)]
         digest = texts.agg(F.count(F.lit(1)).alias("n"), *[F.sum(h).alias(f"h{i}") for i, h in enumerate(row)]).first()
@@ -140,15 +227,21 @@ class VectorStore:
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
     def populate(self, texts: DataFrame, embedder: Embedder, force: bool = False, must_be_new: bool = False) -> DataFrame:
-        """Embed and store the texts unless they are there; ``force`` writes them anew."""
+        """Store the texts with their vectors unless they are there; ``force`` embeds and writes them anew."""
         path = self.path(texts, embedder)
         if self._exists(path):
             if must_be_new:
                 raise CollectionExists(path)
             if not force:
                 return self.spark.read.parquet(path)
-        own = texts.select(F.monotonically_increasing_id().alias("id"), "target_ord", "text", embedded(F.col("text"), embedder).alias("vector"))
-        own.write.mode("overwrite").parquet(path)
+        rows = texts.select("target_ord", "text")
+        if force:
+            held = rows.withColumn("vector", embedded(F.col("text"), embedder))
+        else:
+            runs = self.runs(embedder)
+            runs.add(rows)
+            held = runs.vectors(rows)
+        held.select(F.monotonically_increasing_id().alias("id"), "target_ord", "text", "vector").write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
 

@@ -598,7 +598,7 @@ def suggest_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-# the queries of the other module are registered with these
-from schemaloom.plans import catalogue_cases  # noqa: E402, F401
+# the queries of the other modules are registered with these
+from schemaloom.plans import catalogue_cases, catalogue_sources  # noqa: E402, F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions.text import parse_line, py_strip
 from schemaloom.operators.profile import null_missing
+from schemaloom.sources.parallel import json_elements, read_quoted_table
 
 
 def read_json_files(spark: SparkSession, path: str) -> DataFrame:
@@ -36,6 +37,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered.where(F.col("line") != "").select("path", (F.col("before") + F.col("inside")).alias("line_no"), "line")
 
 
+def json_object(line: Column) -> Column:
+    """The fields of a text that is one JSON object and nothing else, as texts; null for any other text."""
+    both = F.from_json(F.concat(F.lit("["), line, F.lit(",{}]")), "array<map<string,string>>", {"allowSingleQuotes": "false"})  # what follows an object would stand before the second one
+    return F.when(F.size(both) == 2, both[0])
+
+
 def _fields(line: Column, names: list[str]) -> list[Column]:
     return [F.get_json_object(line, f"$.{n}").alias(n) for n in names]
 
@@ -43,15 +50,14 @@ def _fields(line: Column, names: list[str]) -> list[Column]:
 def read_json_lines(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     """Named top-level fields of JSON lines as text, whether they hold strings or objects; blank and broken lines are left out."""
     lines = spark.read.text(path).select(F.col("value").alias("line")).where(py_strip(F.col("line")) != "")
-    good = F.from_json("line", "map<string,string>")
-    return lines.where(good.isNotNull()).select("line", *_fields(F.col("line"), fields))
+    return lines.where(json_object(F.col("line")).isNotNull()).select("line", *_fields(F.col("line"), fields))
 
 
 def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
     """How many lines ``read_json_lines`` leaves out: n_blank and n_broken."""
     lines = spark.read.text(path)
     blank = py_strip(F.col("value")) == ""
-    return lines.agg(F.count_if(blank).alias("n_blank"), F.count_if(~blank & F.from_json("value", "map<string,string>").isNull()).alias("n_broken"))
+    return lines.agg(F.count_if(blank).alias("n_blank"), F.count_if(~blank & json_object(F.col("value")).isNull()).alias("n_broken"))
 
 
 def benchmark_cases(lines: DataFrame) -> DataFrame:
@@ -60,7 +66,7 @@ def benchmark_cases(lines: DataFrame) -> DataFrame:
     ``lines`` has path, line_no and line, as ``read_lines`` gives.
     """
     named = ["input_source_model", "input_target_model", "harmonized_mapping"]
-    cases = lines.where(F.from_json("line", "map<string,string>").isNotNull()).select("path", "line_no", "line", *_fields(F.col("line"), named))
+    cases = lines.where(json_object(F.col("line")).isNotNull()).select("path", "line_no", "line", *_fields(F.col("line"), named))
     return cases.select(
         F.concat_ws(":", "path", "line_no").alias("test_id"),
         "path",
@@ -109,16 +115,22 @@ def expected_mappings(cases: DataFrame, key: str = "test_id", mapping: str = "ha
 def read_table(spark: SparkSession, path: str, separator: str | None = None, multi_line: bool = True) -> DataFrame:
     """A table as text with a header; names are stripped and freed of tabs, and missing values are null.
 
-    Without ``multi_line`` no field holds a line feed, and large files are read in parts.
+    Quoted fields may hold line feeds; large files are read in parts all the same. Without
+    ``multi_line`` no field holds a line feed, and one scan is enough.
     """
     own = separator or ("\t" if path.lower().rstrip("/").endswith(".tsv") else ",")
-    rows = spark.read.csv(path, header=True, sep=own, multiLine=multi_line, escape='"', quote='"')
+    if multi_line:
+        rows = read_quoted_table(spark, path, own)
+    else:
+        rows = spark.read.csv(path, header=True, sep=own, escape='"', quote='"')
     return null_missing(rows.toDF(*[c.strip().replace("\t", "") for c in rows.columns]))
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each element of a JSON array file."""
-    return spark.read.json(path, multiLine=True)
+    """A row for each element of JSON array files, large ones read in parts, with the columns that their elements have."""
+    elements = json_elements(spark, path).select("json")
+    texts = getattr(elements._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(spark._jsparkSession.read().json(texts), spark)
 
 
 def model_folders(spark: SparkSession, root: str, source: str = "source", target: str = "target", expected: str = "expected") -> DataFrame:

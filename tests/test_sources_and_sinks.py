@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from schemaloom.operators.approach import ExampleApproach, NothingFound, SimilarityApproach, display_table, mapping_rows
 from schemaloom.operators.models import parse
 from schemaloom.plans.evaluate import run_benchmark, still_to_do
-from schemaloom.sources import archives, readers, writers
+from schemaloom.sources import readers, writers
 from schemaloom.streaming.landing import each_batch, event_counts, landing_lines
 
 
@@ -129,23 +129,6 @@ def test_files_and_folders(spark, tmp_path):
     assert readers.catalogue_of(spark, {"d": "p"}, {"e": "d"}).count() == 2
 
 
-def test_archives(tmp_path):
-    (tmp_path / "a.txt.gz").write_bytes(gzip.compress(b"a"))
-    (tmp_path / "b.txt.bz2").write_bytes(bz2.compress(b"b"))
-    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
-        z.writestr("c.txt", "c")
-    with tarfile.open(tmp_path / "d.tar.gz", "w:gz") as t:
-        info = tarfile.TarInfo("d.txt")
-        info.size = 1
-        t.addfile(info, io.BytesIO(b"d"))
-    assert len(archives.unpack(str(tmp_path), remove=True)) == 4
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.txt", "b.txt", "c.txt", "d.txt"]
-    with zipfile.ZipFile(tmp_path / "evil.zip", "w") as z:
-        z.writestr("../out.txt", "x")
-    with pytest.raises(ValueError, match="leave"):
-        archives.unpack(str(tmp_path))
-
-
 def test_streams(spark, jsonl, tmp_path):
     landing = tmp_path / "landing"
     landing.mkdir()
@@ -186,3 +169,10 @@ def test_json_lines_to_a_table_by_the_first_record(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text("\n")
     with pytest.raises(ValueError, match="no records"):
         writers.json_lines_to_table(spark, f"file://{tmp_path}/c.jsonl", f"file://{tmp_path}/out3")
+
+
+def test_lines_that_are_more_than_one_object_are_broken(spark):
+    good = ['{"a":1}', ' {"a":[1,{"b":"]},{"}]} ', "{}", '{"a":NaN}']
+    bad = ['{"a":1}]', '{"a":1} x', '{"a":1', '{"a":1}{"b":2}', '{"a":1},{"b":2}', "[1]", '"x"', '{"a":1},', "{'a':1}", "7", "null", "", None]
+    rows = spark.createDataFrame([(t,) for t in good + bad], "t string").select(readers.json_object(F.col("t")).isNotNull().alias("ok")).collect()
+    assert [r.ok for r in rows] == [True] * len(good) + [False] * len(bad)
