@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, document_key, let, null_safe_join, read_text, workspace, write_text, written
+from .common import ascii_lower, document_key, let, null_safe_join, read_text, running, workspace, write_text, written
 
 #: Literal strings that one position may expand to before the derivation gives up on exactness.
 MOST_STRINGS = 64
@@ -196,20 +196,18 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     regex = F.lit(rule.java)
     matches, between = F.regexp_extract_all(text, regex, 0), F.split(text, rule.java, -1)
     checked = F.regexp_extract_all(text, regex, rule.group)
-    nothing = F.array().cast("array<struct<start:int,end:int>>")
 
     def located(parts: Column) -> Column:
-        first = F.struct(F.lit(0).alias("at"), nothing.alias("spans"))
+        befores = running(parts, "int", F.lit(0), lambda at, m: at + F.char_length(m["before"]) + F.char_length(m["match"]))
 
-        def step(acc: Column, m: Column) -> Column:
-            start = acc["at"] + F.char_length(m["before"])
-            end = start + F.char_length(m["match"])
-            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("spans"))
+        def span(m: Column, at: Column) -> Column:
+            start = at + F.char_length(m["before"])
+            return F.struct(start.alias("start"), (start + F.char_length(m["match"])).alias("end"))
 
-        return F.aggregate(parts, first, step, lambda acc: acc["spans"])
+        return F.zip_with(parts, befores, span)
 
     parts = F.zip_with(F.slice(between, 1, F.greatest(F.size(between) - 1, F.lit(0))), matches, lambda b, m: F.struct(b.alias("before"), m.alias("match")))
-    both = F.arrays_zip(located(parts).alias("span"), checked.alias("checked"))
+    both = F.arrays_zip(let(parts, located).alias("span"), checked.alias("checked"))
     long_enough = F.filter(both, lambda x: F.char_length(x["checked"]) >= rule.min_chars)
     spans = F.transform(long_enough, lambda x: F.struct(x["span"]["start"].alias("start"), F.lit(order).alias("order"), x["span"]["end"].alias("end"), F.lit(rule.kind).alias("kind")))
     return F.when(F.regexp_like(text, regex), spans)
@@ -242,15 +240,18 @@ def find_secrets(docs: DataFrame, rules: list[Rule] = RULES, index: str | None =
 def redact(docs: DataFrame, rules: list[Rule] = RULES, mask: str = "[SECRET]") -> DataFrame:
     """doc_id and the text with every span masked; of overlapping spans the first one counts."""
     found = find_secrets(docs, rules)
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    characters = F.regexp_extract_all("text", F.lit("(?s)."), 0)
+    ends = running(F.col("spans"), "int", F.lit(0), lambda at, x: F.greatest(at, x["end"]))
 
-    def step(acc: Column, x: Column) -> Column:
-        kept = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))
-        longer = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when(x["start"] < acc["at"], longer).otherwise(F.struct(x["end"].alias("at"), kept.alias("out")))
+    def masked(chars: Column) -> Column:
+        def piece(x: Column, at: Column) -> Column:
+            return F.when(x["start"] < at, F.lit("")).otherwise(F.concat(F.array_join(F.slice(chars, at + 1, F.greatest(x["start"] - at, F.lit(0))), ""), F.lit(mask)))
 
-    tail = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text")))
-    return found.select("doc_id", F.aggregate("spans", first, step, tail).alias("text"))
+        last = F.aggregate("spans", F.lit(0), lambda at, x: F.greatest(at, x["end"]))
+        tail = let(last, lambda at: F.array_join(F.slice(chars, at + 1, F.greatest(F.size(chars) - at, F.lit(0))), ""))
+        return F.concat(F.array_join(F.zip_with("spans", ends, piece), ""), tail)
+
+    return found.select("doc_id", F.when(F.size("spans") == 0, F.col("text")).otherwise(let(characters, masked)).alias("text"))
 
 
 def op3_secret_scan(docs: DataFrame) -> DataFrame:
