@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, ascii_lower, delete_path, document_key, let, null_safe_join, read_text, workspace, write_text, written
+from .common import WS_CHARS, ascii_lower, delete_path, document_key, indexes, let, null_safe_join, read_text, workspace, write_text, written
 
 
 def line_key(line: Column) -> Column:
@@ -147,12 +147,13 @@ def _applied(docs: DataFrame, runs: LineRuns, min_docs: int) -> DataFrame:
     """``docs`` with all columns and __sl_before and __sl_kept, the lines of the text and those that stay."""
     frequent = written(runs.frequent(min_docs), workspace(runs.spark, "frequent-lines"), small=True)  # without buckets, so that a line of many documents can be split
     runs.close()
-    probes = _with_lines(docs).select(F.col("doc_id").alias("__sl_id"), F.col("__h").alias("__sl_h"), F.explode(_distinct_keys(F.col("keys"))).alias("line"))
-    going = probes.join(frequent.hint("merge"), "line", "left_semi").groupBy("__sl_id", "__sl_h").agg(F.collect_set("line").alias("__sl_gone"))
+    probes = _with_lines(docs).select(F.col("doc_id").alias("__sl_id"), F.col("__h").alias("__sl_h"), F.posexplode("keys").alias("at", "line")).where("line IS NOT NULL")
+    going = probes.join(frequent.hint("merge"), "line", "left_semi").groupBy("__sl_id", "__sl_h").agg(F.collect_set("at").alias("__sl_gone"))
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumns({"__sl_id": F.col("doc_id"), "__sl_h": F.xxhash64(text)})
     both = null_safe_join(keyed, going, ["__sl_id", "__sl_h"], "left").withColumn("__sl_before", F.split(text, "\n", -1))
-    left = F.filter("__sl_before", lambda line: ~F.coalesce(F.array_contains("__sl_gone", line_key(line)), F.lit(False)))
+    staying = lambda lines: F.transform(F.array_except(indexes(F.size(lines)), F.col("__sl_gone")), lambda i: F.get(lines, i))
+    left = let(F.split(text, "\n", -1), staying)  # by places, which a hash set tells apart: linear in the lines
     return both.withColumn("__sl_kept", F.when(F.col("__sl_gone").isNull(), F.col("__sl_before")).otherwise(left)).drop("__sl_id", "__sl_h", "__sl_gone")
 
 

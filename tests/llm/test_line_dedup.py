@@ -1,7 +1,11 @@
 import hashlib
+import time
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from schemaloom.llm import line_dedup
+from schemaloom.llm.common import indexes, running
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -86,3 +90,24 @@ def test_documents_keep_their_columns(docs, corpus):
 def test_empty_table(no_docs):
     assert line_dedup.op4_line_dedup(no_docs).collect() == []
     assert line_dedup.without_common_lines(no_docs).collect() == []
+
+
+def test_a_text_of_very_many_common_lines_takes_time_in_proportion(spark):
+    n = 50_000
+    text = "\n".join(f"common line {i}" for i in range(n)) + "\nown"
+    docs = spark.createDataFrame([(i, text) for i in range(10)] + [(99, "common line 7\nonce\n once\ncommon line 8")], "doc_id bigint, text string").repartition(4)
+    began = time.perf_counter()
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs, batches=1).collect()}
+    assert time.perf_counter() - began < 60
+    assert all(rows[i].kept_text == "" and rows[i].n_lines == rows[i].n_dropped == n + 1 for i in range(10))
+    assert (rows[99].kept_text, rows[99].n_lines, rows[99].n_dropped) == ("once\n once", 4, 2)
+
+
+def test_running_states_are_those_of_a_loop(spark):
+    for n in (0, 1, 127, 128, 129, 1000):
+        rows = spark.range(1).select(running(F.transform(indexes(F.lit(n)), lambda i: i * 3 % 7), "int", F.lit(5), lambda s, x: s * 2 % 1001 + x).alias("r"))
+        want, s = [], 5
+        for i in range(n):
+            want.append(s)
+            s = s * 2 % 1001 + i * 3 % 7
+        assert rows.first().r == want
