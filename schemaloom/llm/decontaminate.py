@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, document_key, indexes, let, null_safe_join, workspace, written
+from .common import ascii_lower, document_key, indexes, let, null_safe_join, running, workspace, written
 
 #: What separates words after A-Z are lower-cased: ASCII but digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -31,6 +31,11 @@ def _hash(words: Column, at: Column, width: int) -> Column:
     return F.xxhash64(F.slice(words, at + 1, width))
 
 
+def _set_of(item: Column) -> Column:
+    """The items of a group, sorted; a null one is an item like others, and last."""
+    return F.array_sort(F.transform(F.collect_set(F.struct(item.alias("id"))), lambda x: x["id"]))
+
+
 def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """(gram, width, item_ids, items): every distinct window of the test set, the items that hold it, and the name of that set of items."""
     rows = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
@@ -38,7 +43,7 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     starts = F.sequence(F.lit(1), F.col("size") - F.col("width") + 1)
     each = rows.withColumn("size", F.size("words")).select("item_id", "width", F.transform(starts, lambda i: F.slice("words", i, F.col("width"))).alias("grams"))
     each = each.select("item_id", "width", F.explode(F.array_distinct("grams")).alias("gram"))
-    held = each.groupBy("gram", "width").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    held = each.groupBy("gram", "width").agg(_set_of(F.col("item_id").cast("string")).alias("item_ids"))
     return held.withColumn("items", F.sha2(F.to_json("item_ids"), 256))
 
 
@@ -99,36 +104,51 @@ def covered(hits: Column) -> Column:
     return F.aggregate(hits, start, step, lambda acc: acc["n"]).cast("long")
 
 
+def _judged(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_words, n_hit and sets (the sets of items that its windows name) of each row; and (sets, item_ids) of each different one.
+
+    Many documents may hold the same long passage, and many items too: such sets are put together once.
+    """
+    hits, sets = _hits(docs, benchmark, width)
+    named = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["items"])))
+    rows = hits.select("doc_id", F.size("words").cast("long").alias("n_words"), covered(F.col("hits")).alias("n_hit"), named.alias("named"))
+    name = F.when(F.size("named") > 0, F.sha2(F.array_join("named", ","), 256))
+    rows = written(rows.withColumn("sets", name), workspace(docs.sparkSession, "contaminated"), small=True)  # without the texts
+    each = rows.where("sets IS NOT NULL").groupBy("sets").agg(F.first("named").alias("named")).select("sets", F.explode("named").alias("items")).join(sets, "items")
+    items = each.select("sets", F.explode("item_ids").alias("id")).groupBy("sets").agg(_set_of(F.col("id")).alias("item_ids"))
+    return rows.drop("named"), items
+
+
+def _told(rows: DataFrame, items: DataFrame, none: dict[str, Column]) -> DataFrame:
+    """The rows with what is told of their sets; those without any get ``none``, without a join."""
+    clean = rows.where("sets IS NULL").select("doc_id", "n_words", "n_hit", *[v.alias(k) for k, v in none.items()])
+    return clean.unionByName(rows.where("sets IS NOT NULL").join(items, "sets").select("doc_id", "n_words", "n_hit", *none))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_hit, item_ids (sorted as strings).
 
-    A word inside any occurrence of a test window counts once in n_hit. Repeated rows are judged
+    A word inside any occurrence of a test window counts once in n_hit. A null item_id is one item,
+    last in item_ids, however many rows of ``benchmark`` have it. Repeated rows are judged
     each for itself. Other columns are not read. An empty table gives no rows.
     """
-    hits, sets = _hits(docs, benchmark, width)
-    named = F.array_distinct(F.transform("hits", lambda x: x["items"])).alias("sets")
-    rows = hits.select("doc_id", "__h", F.size("words").cast("long").alias("n_words"), covered(F.col("hits")).alias("n_hit"), named)
-    rows = written(rows, workspace(docs.sparkSession, "contaminated"), small=True)  # without the texts
-    each = rows.select("doc_id", "__h", F.explode("sets").alias("items")).distinct().join(sets, "items")
-    items = each.select("doc_id", "__h", F.explode("item_ids").alias("id")).groupBy("doc_id", "__h").agg(F.array_sort(F.collect_set("id")).alias("item_ids"))
-    found = null_safe_join(rows, items, ["doc_id", "__h"], "left")
-    return found.select("doc_id", "n_words", "n_hit", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    return _told(*_judged(docs, benchmark, width), {"item_ids": F.array().cast("array<string>")})
 
 
 def hit_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, spans: array of (first, last) word positions of each maximal run of hit words."""
     hits = _hits(docs, benchmark, width)[0]
-    start = F.array().cast("array<struct<first:int,last:int>>")
+    lasts = running(F.col("hits"), "int", F.lit(-2), lambda last, x: F.greatest(last, x["start"] + x["width"] - 1))
+    last = F.aggregate("hits", F.lit(-2), lambda at, x: F.greatest(at, x["start"] + x["width"] - 1))
+    told = F.zip_with("hits", lasts, lambda x, before: F.struct(x["start"].alias("first"), before.alias("before")))
 
-    def merge(acc: Column, x: Column) -> Column:
-        end = x["start"] + x["width"] - 1
-        fresh = F.struct(x["start"].alias("first"), end.alias("last"))
-        tail = F.element_at(acc, -1)
-        joined = F.struct(tail["first"].alias("first"), F.greatest(tail["last"], end).alias("last"))
-        touches = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["last"] + 1 >= x["start"])
-        return F.when(touches, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(fresh)))
+    def spans(firsts: Column) -> Column:
+        ends = F.concat(F.transform(F.slice(firsts, 2, F.greatest(F.size(firsts) - 1, F.lit(0))), lambda x: x["before"]), F.array(last))
+        return F.zip_with(firsts, ends, lambda x, end: F.struct(x["first"].alias("first"), end.alias("last")))
 
-    return hits.select("doc_id", F.aggregate("hits", start, merge).alias("spans"))
+    none = F.array().cast("array<struct<first:int,last:int>>")
+    found = let(F.filter(told, lambda x: x["first"] > x["before"] + 1), spans)
+    return hits.select("doc_id", F.when(F.size("hits") == 0, none).otherwise(found).alias("spans"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -141,15 +161,11 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -
 
 def op9_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's digest of ``decontaminate``."""
-    found = decontaminate(docs, benchmark)
-    return found.select(
-        "doc_id",
-        "n_words",
-        "n_hit",
-        F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
-    )
+    rows, items = _judged(docs, benchmark, WIDTH)
+    digest = F.sha2(F.array_join("item_ids", ","), 256)  # a null item has no text there
+    told = items.select("sets", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"))
+    found = _told(rows, told, {"n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256)})
+    return found.withColumn("contaminated", F.col("n_hit") > 0)
 
 
 OP9_SQL = r"""

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +79,39 @@ def test_empty_tables(spark, docs, no_docs, items):
     assert decontaminate.op9_decontamination(no_docs, table(spark, items)).collect() == []
     assert {r.n_hit for r in decontaminate.op9_decontamination(docs, nothing).collect()} == {0}
     assert decontaminate.clean_documents(docs, nothing).count() == docs.count()
+
+
+def test_a_null_item_is_one_item(spark):
+    rows = [(1, "a b c d e f g h i j k l"), (2, "q r"), (3, "nothing")]
+    items = [(None, "a b c d e f g h i j k l"), (None, "a b c d e f g h i j"), (4, "b c d e f g h i j k"), (None, "q r")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in decontaminate.op9_decontamination(docs, table(spark, items)).collect()}
+    assert [(got[i].n_hit, got[i].n_items, got[i].contaminated) for i in (1, 2, 3)] == [(12, 2, True), (2, 1, True), (0, 0, False)]
+    assert [got[i].items_sha256 for i in (1, 2, 3)] == [hashlib.sha256(x).hexdigest() for x in (b"4", b"", b"")]
+    listed = {r.doc_id: r.item_ids for r in decontaminate.decontaminate(docs, table(spark, items)).collect()}
+    assert listed == {1: ["4", None], 2: [None], 3: []}
+
+
+def test_many_documents_that_hold_a_phrase_of_many_items(spark):
+    phrase = "one two three four five six seven eight nine ten"
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"before {phrase} after "), F.col("id")).alias("text"))
+    items = spark.range(20_000).select(F.col("id").alias("item_id"), F.lit(phrase).alias("text"))
+    began = time.perf_counter()
+    rows = decontaminate.op9_decontamination(docs, items).select("n_hit", "n_items", "items_sha256").distinct().collect()
+    assert time.perf_counter() - began < 60
+    assert [tuple(r) for r in rows] == [(10, 20_000, hashlib.sha256(",".join(sorted(map(str, range(20_000)))).encode()).hexdigest())]
+
+
+def test_spans_are_maximal_runs_of_hit_words(spark):
+    rng = random.Random(3)
+    items = [(i, " ".join(rng.choice("abc") for _ in range(rng.choice([2, 3, 12])))) for i in range(6)]
+    rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.choice([0, 5, 40, 400])))) for i in range(30)]
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in decontaminate.hit_spans(spark.createDataFrame(rows, "doc_id bigint, text string"), table(spark, items)).collect()}
+    for i, text in rows:
+        w, hit = words(text), set()
+        for _, item in items:
+            b = words(item)
+            k = min(10, len(b))
+            grams = {tuple(b[j : j + k]) for j in range(len(b) - k + 1)}
+            hit |= {p for j in range(len(w) - k + 1) if tuple(w[j : j + k]) in grams for p in range(j, j + k)}
+        assert got[i] == [(p, min(q for q in range(p, len(w) + 1) if q + 1 not in hit)) for p in sorted(hit) if p - 1 not in hit]
