@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import WS_CHARS, ascii_lower, delete_path, document_key, indexes, let, null_safe_join, read_text, workspace, write_text, written
 
+#: Documents whose lines make a bucket, so that buckets follow the corpus and a small one has few files.
+DOCS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 25_000, 4, 20_000
+
 
 def line_key(line: Column) -> Column:
     """128-bit hash of the stripped line with A-Z in lower case; null for a line of white space only."""
@@ -168,7 +171,8 @@ def apply_runs(docs: DataFrame, runs: LineRuns, min_docs: int) -> DataFrame:
 
 
 def _runs_of(docs: DataFrame, min_docs: int, batches: int, fanout: int) -> LineRuns:
-    runs = LineRuns(docs.sparkSession, fanout=fanout)
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-docs.count() // DOCS_A_BUCKET)))
+    runs = LineRuns(docs.sparkSession, fanout=fanout, buckets=buckets)
     runs.add(docs, min_docs, F.pmod(F.xxhash64("doc_id", "__h"), F.lit(batches)), batches)
     return runs
 
