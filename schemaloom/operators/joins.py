@@ -20,9 +20,19 @@ def null_safe_match(source: DataFrame, other: DataFrame, keys: list[str], requir
     return source.join(right, condition, "inner").drop(*[f"{prefix}{k}" for k in keys])
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, default: Column | None = None, out: str | None = None) -> DataFrame:
-    """The table's value for each row's key, or the default (the key itself)."""
-    found = table.select(F.col(key).alias("__k"), F.col(value).alias("__v")).where(F.col("__k").isNotNull()).dropDuplicates(["__k"])
+def _last(table: DataFrame, keys: dict[str, str], value: str, ordinal: str | None, out: str) -> DataFrame:
+    """One value for each key: that of the last row by ``ordinal`` (a null one is a value too), or the largest; equal ordinals: the largest."""
+    order = F.struct(F.col(ordinal), F.col(value)) if ordinal else F.struct(F.col(value))
+    each = table.groupBy(*[F.col(c).alias(k) for k, c in keys.items()]).agg(F.max(order).alias("__x"))
+    return each.select(*keys, F.col("__x")[value].alias(out))
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, default: Column | None = None, out: str | None = None, ordinal: str | None = None) -> DataFrame:
+    """The table's value for each row's key, or the default (the key itself).
+
+    Of a repeated key the last row by ``ordinal`` counts, or, without one, the largest value.
+    """
+    found = _last(table.where(F.col(key).isNotNull()), {"__k": key}, value, ordinal, "__v")
     joined = rows.join(found, rows[key] == found["__k"], "left")
     return joined.withColumn(out or value, F.coalesce("__v", rows[key] if default is None else default)).drop("__k", "__v")
 
@@ -54,13 +64,14 @@ def lineage(rows: DataFrame, hops: list[tuple[DataFrame, list[str]]]) -> DataFra
     return rows
 
 
-def with_fallback(rows: DataFrame, parents: DataFrame, catalog: DataFrame, node: str, name: str, value: str) -> DataFrame:
+def with_fallback(rows: DataFrame, parents: DataFrame, catalog: DataFrame, node: str, name: str, value: str, ordinal: str | None = None) -> DataFrame:
     """A property's value in its own node, else in the first parent node that has it.
 
-    ``parents`` holds (node, parent, parent_ord); ``catalog`` (node, name, value).
+    ``parents`` holds (node, parent, parent_ord); ``catalog`` (node, name, value). Of a property that
+    a node has repeatedly the last row by ``ordinal`` counts, or, without one, the largest value.
     """
-    own = catalog.select(F.col(node).alias("__n"), F.col(name).alias("__p"), F.col(value).alias("__own")).dropDuplicates(["__n", "__p"])
-    of_parent = parents.join(catalog.select(F.col(node).alias("parent"), F.col(name).alias("__pp"), F.col(value).alias("__v")), "parent")
+    own = _last(catalog, {"__n": node, "__p": name}, value, ordinal, "__own")
+    of_parent = parents.join(own.select(F.col("__n").alias("parent"), F.col("__p").alias("__pp"), F.col("__own").alias("__v")), "parent")
     best = of_parent.groupBy(F.col(node).alias("__pn"), "__pp").agg(F.min_by("__v", "parent_ord").alias("__inherited"))
     first = rows.join(own, (rows[node] == own["__n"]) & (rows[name] == own["__p"]), "left")
     both = first.join(best, (first[node] == best["__pn"]) & (first[name] == best["__pp"]), "left")

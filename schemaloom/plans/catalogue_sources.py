@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from schemaloom.functions import text as tx
 from schemaloom.functions.embed import LetterEmbedder, VectorRuns
 from schemaloom.functions.scratch import workspace
+from schemaloom.operators import joins
 from schemaloom.plans.registry import register, table
 from schemaloom.sources import archives, parallel, readers, writers
 
@@ -119,3 +120,35 @@ def growing_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         VectorRuns(spark, path, LetterEmbedder(), fanout=3).add(lines.where(some))
     held = VectorRuns(spark, path, LetterEmbedder()).contents()
     return held.select("text", "addition", F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("letters"))
+
+
+@register(
+    """
+SELECT o.o_orderkey AS k, coalesce(l.q, -1.0) AS quantity, l.q IS NOT NULL AS known
+FROM orders o LEFT JOIN (SELECT l_orderkey, arg_max(l_quantity, {'n': l_linenumber, 'q': l_quantity}) AS q FROM lineitem WHERE l_linenumber > 1 GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey
+"""
+)
+def last_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup in a table of repeated keys, of which the last row counts."""
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber > 1").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").cast("double").alias("quantity"), "l_linenumber")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    found = joins.lookup(rows, lines, "k", "quantity", F.lit(-1.0), ordinal="l_linenumber")
+    return found.withColumn("known", F.col("quantity") >= 0)
+
+
+@register(
+    """
+SELECT p_partkey AS test_id, CASE WHEN p_partkey % 7 NOT IN (1, 2) THEN 0 END::INTEGER AS line_ord, CASE WHEN p_partkey % 7 NOT IN (1, 2) THEN p_brand END AS source_node,
+       CASE WHEN p_partkey % 7 NOT IN (1, 2) THEN p_name END AS target_description,
+       CASE p_partkey % 7 WHEN 1 THEN 'an empty mapping' WHEN 2 THEN 'record 1 has 1 fields, not 2' END AS error
+FROM part
+"""
+)
+def mapping_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings of which some cannot be read: these are rows that say why, and the rest is read."""
+    part, kind = table(spark, sf_dir, "part"), F.col("p_partkey") % 7
+    source = tx.render_line(F.col("p_brand"), F.lit("name"), F.lit("string"), F.lit("of a part"))
+    target = tx.render_line(F.lit("Part"), F.lit("label"), F.lit("string"), F.col("p_name"))
+    text = F.concat(F.lit("source\ttarget\n"), writers.quoted(source), F.when(kind == 2, F.lit("")).otherwise(F.concat(F.lit("\t"), writers.quoted(target))))
+    cases = part.select(F.col("p_partkey").alias("test_id"), F.when(kind == 1, F.lit("")).otherwise(text).alias("harmonized_mapping"))
+    return readers.mapping_results(cases).select("test_id", "line_ord", "source_node", "target_description", "error")

@@ -79,37 +79,54 @@ def benchmark_cases(lines: DataFrame) -> DataFrame:
     )
 
 
-def expected_mappings(cases: DataFrame, key: str = "test_id", mapping: str = "harmonized_mapping") -> DataFrame:
-    """The known mappings of each case, both lines parsed; quoting is that of a CSV reader.
-
-    The first record is a header whatever it says. Lines of another form are four empty strings and
-    count. A record that has not two fields is an error and fails the job, as does an empty mapping.
+def _mapping_records(text: str | None) -> list[list[str]]:
+    """The records of a mapping after its header; a mapping without one, or with a record of other than two fields, is an error."""
+    records = csv.reader(io.StringIO(text or ""), delimiter="\t")
+    if next(records, None) is None:
+        raise ValueError("an empty mapping")
+    found = list(records)
+    for n, record in enumerate(found):
+        if len(record) != 2:
+            raise ValueError(f"record {n + 1} has {len(record)} fields, not 2")
+    return found
+
+
+def mapping_results(cases: DataFrame, key: str = "test_id", mapping: str = "harmonized_mapping") -> DataFrame:
+    """The known mappings of each case as ``expected_mappings`` gives them, and one row with ``error`` for a case that has none that can be read.
+
+    A bad case keeps no other from being read: its row has no line_ord, and null lines.
     """
 
     def read(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            keys, ords, sources, targets = [], [], [], []
+            out: list[tuple] = []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                records = csv.reader(io.StringIO(text or ""), delimiter="\t")
-                if next(records, None) is None:
-                    raise ValueError(f"case {k} has an empty mapping")
-                for n, record in enumerate(records):
-                    if len(record) != 2:
-                        raise ValueError(f"case {k}: record {n + 1} has {len(record)} fields, not 2")
-                    keys.append(k)
-                    ords.append(n)
-                    sources.append(record[0])
-                    targets.append(record[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(ords, pa.int32()), pa.array(sources, pa.string()), pa.array(targets, pa.string())], names=[key, "line_ord", "s", "t"])
+                try:
+                    out += [(k, n, *record, None) for n, record in enumerate(_mapping_records(text))]
+                except (ValueError, csv.Error) as fault:
+                    out.append((k, None, None, None, str(fault)))
+            types = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.string()]
+            names = [key, "line_ord", "s", "t", "error"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
     kind = cases.schema[key].dataType.simpleString()
-    raw = cases.select(key, mapping).mapInArrow(read, f"{key} {kind}, line_ord int, s string, t string")
-    s, t = parse_line(F.col("s")), parse_line(F.col("t"))
-    both = raw.select(key, "line_ord", s.alias("s"), t.alias("t"))
-    told = [F.col(f"{side[0]}.{f}").alias(f"{side}_{f}") for side in ("source", "target") for f in ("node", "property", "type", "description")]
-    return both.select(key, "line_ord", *told)
+    raw = cases.select(key, mapping).mapInArrow(read, f"{key} {kind}, line_ord int, s string, t string, error string")
+    told = [F.when(F.col("error").isNull(), parse_line(F.col(side[0]))[f]).alias(f"{side}_{f}") for side in ("source", "target") for f in ("node", "property", "type", "description")]
+    return raw.select(key, "line_ord", *told, "error")
+
+
+def expected_mappings(cases: DataFrame, key: str = "test_id", mapping: str = "harmonized_mapping") -> DataFrame:
+    """The known mappings of each case, both lines parsed; quoting is that of a CSV reader.
+
+    The first record is a header whatever it says. Lines of another form are four empty strings and
+    count. A record that has not two fields is an error and fails the job, as does an empty mapping;
+    ``mapping_results`` gives such cases as rows.
+    """
+    found = mapping_results(cases, key, mapping)
+    fault = F.raise_error(F.concat(F.lit("case "), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(": "), F.col("error")))
+    return found.where(F.when(F.col("error").isNull(), F.lit(True)).otherwise(fault.cast("boolean"))).drop("error")  # a filter, as an unused column would be pruned
 
 
 def read_table(spark: SparkSession, path: str, separator: str | None = None, multi_line: bool = True) -> DataFrame:

@@ -81,3 +81,16 @@ def test_sets(spark):
     assert S.union_all([a, b]).columns == ["x", "y"] and S.union_all([a, b]).count() == 4
     assert rows(S.intersection(a, b), "x") == [(2,)] and S.difference(a, b).count() == 2
     assert S.distinct_lines(a.select(F.col("x").cast("string").alias("l")), "l").count() == 2
+
+
+def test_repeated_keys_give_the_last_value(spark):
+    table = spark.createDataFrame([("a", "first", 1), ("a", "last", 2), ("a", "zz", 0), ("b", None, 3), ("b", "x", 1), (None, "n", 1)], "k string, v string, o int")
+    rows = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "k string")
+    got = {r.k: r.v for r in J.lookup(rows, table, "k", "v", F.lit("none"), ordinal="o").collect()}
+    assert got == {"a": "last", "b": "none", "c": "none", None: "none"}
+    assert {r.k: r.v for r in J.lookup(rows, table, "k", "v").collect()} == {"a": "zz", "b": "x", "c": "c", None: None}
+    catalog = spark.createDataFrame([("n", "p", "first", 1), ("n", "p", "last", 2), ("up", "q", "old", 1), ("up", "q", "new", 5)], "node string, name string, value string, o int")
+    parents = spark.createDataFrame([("n", "up", 0)], "node string, parent string, parent_ord int")
+    wanted = spark.createDataFrame([("n", "p"), ("n", "q"), ("n", "r")], "node string, name string")
+    found = J.with_fallback(wanted, parents, catalog, "node", "name", "value", ordinal="o").collect()
+    assert {r["name"]: r.value for r in found} == {"p": "last", "q": "new", "r": None}
