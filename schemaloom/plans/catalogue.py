@@ -599,6 +599,6 @@ def suggest_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the queries of the other modules are registered with these
-from schemaloom.plans import catalogue_cases, catalogue_sources  # noqa: E402, F401
+from schemaloom.plans import catalogue_cases, catalogue_flow, catalogue_sources  # noqa: E402, F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
