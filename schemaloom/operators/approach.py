@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,22 @@ class Approach(ABC):
     def suggest(self, source: Models, target: Models, **options) -> DataFrame: ...
 
 
+class CaseApproach(ABC):
+    """An approach of one's own that matches a case's source lines with its target's, both as pandas frames.
+
+    ``schemaloom.plans.evaluate`` runs it inside one grouped plan, whatever the number of targets. A call
+    sees all lines of one case, so it may weigh them against each other.
+    """
+
+    @abstractmethod
+    def match(self, source: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
+        """Rows (source, target, similarity): row numbers, from 0, in both frames, and a score; any number of rows, in any order.
+
+        ``source``: node_name, property_name, property_type, property_description and npd, its line;
+        ``target``: text, its line. Both are in the models' order. An exception fails this case alone.
+        """
+
+
 class ExampleApproach(Approach):
     """Two fixed suggestions, whatever the models: a test double."""
 

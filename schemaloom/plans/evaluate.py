@@ -12,24 +12,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.functions.embed import Embedder, LexicalEmbedder, embedded
+from schemaloom.functions.scratch import workspace, written
 from schemaloom.functions.text import parse_line
 from schemaloom.operators import metrics as m
 from schemaloom.operators.joins import finished_anti
-from schemaloom.operators.approach import Approach
+from schemaloom.operators.approach import Approach, CaseApproach
 from schemaloom.operators.models import Models, documents, parse
 from schemaloom.operators.search import _best, _unit
-from schemaloom.sources.readers import expected_mappings
+from schemaloom.sources.named_files import write_mapping_sets
+from schemaloom.sources.readers import mapping_results
 from schemaloom.sources.writers import with_metrics
 
 #: Source properties that one task compares with a target's; a popular target's are dealt to as many tasks as that takes.
 PART_ROWS = 4096
 
+SOURCE_COLUMNS = ["test_id", "node_ord", "prop_ord", "node_name", "property_name", "property_type", "property_description"]
+
 
 @dataclass(frozen=True)
 class Evaluation:
     suggestions: DataFrame
     metrics: DataFrame
     lines: DataFrame  # the test cases' JSON with their metrics
+    failures: DataFrame  # test_id, stage and error of the cases that could not be evaluated
 
 
 def suggest_all(cases: DataFrame, embedder: Embedder | None = None, k: int = 10, threshold: float | None = 0.0, source_format: str | Callable[[DataFrame], Models] = "unknown", target_format: str | Callable[[DataFrame], Models] = "unknown") -> DataFrame:
@@ -40,16 +45,13 @@ def suggest_all(cases: DataFrame, embedder: Embedder | None = None, k: int = 10,
     ``cases``: test_id, source_model, target_model, target_key.
     """
     embedder = embedder or LexicalEmbedder()
-    source = _parsed(cases.select(F.col("test_id").alias("model_id"), F.col("source_model").alias("json")), source_format)
-    targets = cases.groupBy("target_key").agg(F.first("target_model").alias("json"))
-    target = documents(_parsed(targets.select(F.col("target_key").alias("model_id"), "json"), target_format))
-    lines = target.select(F.col("model_id").alias("target_key"), "target_ord", "text", embedded(F.col("text"), embedder).alias("tv"))
-    props = source.properties.withColumnRenamed("model_id", "test_id").join(cases.select("test_id", "target_key"), "test_id")
+    props, target = _sides(cases, source_format, target_format)
+    lines = target.withColumn("tv", embedded(F.col("text"), embedder))
     parts = props.groupBy("target_key").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("parts"))
     dealt = props.join(parts, "target_key").withColumn("salt", F.pmod(F.xxhash64("test_id", "node_ord", "prop_ord"), F.col("parts")))
     queries = dealt.withColumn("qv", embedded(F.col("npd"), embedder))
     salted = lines.join(parts, "target_key").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
-    kept = ["test_id", "node_ord", "prop_ord", "node_name", "property_name", "property_type", "property_description"]
+    kept = SOURCE_COLUMNS
     kinds = {f.name: f.dataType.simpleString() for f in props.schema}
 
     def search(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
@@ -66,18 +68,35 @@ def suggest_all(cases: DataFrame, embedder: Embedder | None = None, k: int = 10,
 
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in kept), "text string", "similarity double", "rk int"])
     found = queries.select("target_key", "salt", *kept, "qv").groupBy("target_key", "salt").cogroup(salted.groupBy("target_key", "salt")).applyInPandas(search, schema)
+    return _told(found)
+
+
+def _sides(cases: DataFrame, source_format: str | Callable[[DataFrame], Models], target_format: str | Callable[[DataFrame], Models]) -> tuple[DataFrame, DataFrame]:
+    """The cases' source properties with their target_key, and the lines of each distinct target: target_key, target_ord, text."""
+    source = _parsed(cases.select(F.col("test_id").alias("model_id"), F.col("source_model").alias("json")), source_format)
+    targets = cases.groupBy("target_key").agg(F.first("target_model").alias("json"))
+    target = documents(_parsed(targets.select(F.col("target_key").alias("model_id"), "json"), target_format))
+    props = source.properties.withColumnRenamed("model_id", "test_id").join(cases.select("test_id", "target_key"), "test_id")
+    return props, target.select(F.col("model_id").alias("target_key"), "target_ord", "text")
+
+
+def _told(found: DataFrame, *more: str) -> DataFrame:
+    """The columns of SUGGESTION of matches with a source's properties and a target's line."""
     t = parse_line(F.col("text"))
     return found.select(
         "test_id", "node_ord", "prop_ord",
         F.col("node_name").alias("source_node"), F.col("property_name").alias("source_property"),
         F.col("property_type").alias("source_type"), F.col("property_description").alias("source_description"),
-        *[t[f].alias(f"target_{f}") for f in ("node", "property", "type", "description")],
-        "similarity", "rk",
+        *[F.when(F.col("text").isNotNull(), t[f]).alias(f"target_{f}") for f in ("node", "property", "type", "description")],
+        "similarity", "rk", *more,
     )
 
 
 def suggest_by(cases: DataFrame, approach: Approach, source_format: str = "unknown", target_format: str = "unknown", most: int = 1000, **options) -> DataFrame:
-    """Suggestions of any approach for every case, one distinct target model (of at most ``most``) after another."""
+    """Suggestions of an approach over DataFrames for every case, one distinct target model (of at most ``most``) after another.
+
+    Any number of targets goes into one plan with a ``CaseApproach`` and ``suggest_cases``.
+    """
     keys = [r.target_key for r in cases.select("target_key").distinct().limit(most + 1).collect()]
     if len(keys) > most:
         raise ValueError(f"more than {most} target models")
@@ -90,19 +109,119 @@ def suggest_by(cases: DataFrame, approach: Approach, source_format: str = "unkno
     return reduce(DataFrame.unionByName, found) if found else suggest_all(cases.limit(0))
 
 
+def suggest_cases(cases: DataFrame, approach: CaseApproach, k: int = 10, threshold: float | None = None, source_format: str | Callable[[DataFrame], Models] = "unknown", target_format: str | Callable[[DataFrame], Models] = "unknown") -> DataFrame:
+    """Suggestions of an approach of one's own for every case, any number of targets in one plan: the columns of SUGGESTION and error.
+
+    Each distinct target is parsed once and sent to the tasks that its cases are dealt to; a case is
+    never split. For each source property the k best targets of at least the threshold are kept,
+    ties in the target's order; a score that is null or not finite is none. A case whose match fails
+    is one row with its error and nulls else, and no suggestion; the others go on. Cases without
+    source or target properties have no rows.
+
+    ``cases``: test_id, source_model, target_model, target_key.
+    """
+    props, lines = _sides(cases, source_format, target_format)
+    sized = props.groupBy("target_key").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("parts"))
+    dealt = props.join(sized, "target_key").withColumn("salt", F.pmod(F.xxhash64("test_id"), F.col("parts")))
+    salted = lines.join(sized, "target_key").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+    kinds = {f.name: f.dataType.simpleString() for f in props.schema}
+    names = [*SOURCE_COLUMNS, "text", "similarity", "rk", "error"]
+
+    def one(source: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
+        found = approach.match(source[["node_name", "property_name", "property_type", "property_description", "npd"]].copy(), target[["text"]].copy())
+        told = pd.DataFrame({"s": found["source"].astype("int64"), "t": found["target"].astype("int64"), "similarity": pd.to_numeric(found["similarity"]).astype("float64")})
+        if len(told) and not (told["s"].between(0, len(source) - 1).all() and told["t"].between(0, len(target) - 1).all()):
+            raise ValueError("the approach gives rows that are not there")
+        told = told[np.isfinite(told["similarity"]) & ((threshold is None) | (told["similarity"] >= (threshold or 0.0)))]
+        told = told.sort_values(["s", "similarity", "t"], ascending=[True, False, True], kind="stable").drop_duplicates(["s", "t"])
+        told["rk"] = told.groupby("s").cumcount() + 1
+        told = told[told["rk"] <= k]
+        out = source.iloc[told["s"]][SOURCE_COLUMNS].reset_index(drop=True)
+        return out.assign(text=target["text"].to_numpy()[told["t"]], similarity=told["similarity"].to_numpy(), rk=told["rk"].to_numpy(), error=None)
+
+    def search(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        target = t.sort_values("target_ord").reset_index(drop=True)
+        out = [pd.DataFrame({n: pd.Series(dtype=object) for n in names})]
+        for test, source in q.groupby("test_id", sort=True) if len(target) else ():
+            try:
+                out.append(one(source.sort_values(["node_ord", "prop_ord"]).reset_index(drop=True), target)[names])
+            except Exception as fault:  # whatever an approach of one's own may raise is told in the case's row
+                out.append(pd.DataFrame([{"test_id": test, "error": f"{type(fault).__name__}: {fault}"[:500]}], columns=names))
+        together = pd.concat([o.astype(object) for o in out], ignore_index=True)
+        return together.where(together.notna(), None)
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in SOURCE_COLUMNS), "text string", "similarity double", "rk int", "error string"])
+    grouped = dealt.select("target_key", "salt", *SOURCE_COLUMNS, "npd").groupBy("target_key", "salt")
+    found = grouped.cogroup(salted.groupBy("target_key", "salt")).applyInPandas(search, schema)
+    return _told(found, "error")
+
+
 def _parsed(models: DataFrame, format: str | Callable[[DataFrame], Models]) -> Models:
     """Models by a named dialect, or by a function of one's own from (model_id, json)."""
     return format(models) if callable(format) else parse(models, format)
 
 
-def run_benchmark(cases: DataFrame, embedder: Embedder | None = None, column: str = "custom_metrics", approach: Approach | None = None, **options) -> Evaluation:
+class CasesFailed(Exception):
+    """Some cases could not be evaluated; ``evaluation`` has the results of the others."""
+
+    def __init__(self, message: str, evaluation: Evaluation):
+        super().__init__(message)
+        self.evaluation = evaluation
+
+
+def run_benchmark(
+    cases: DataFrame, embedder: Embedder | None = None, column: str = "custom_metrics", approach: Approach | CaseApproach | None = None,
+    on_error: str = "raise", mapping_sets: str | None = None, **options,
+) -> Evaluation:
     """Suggest, score and append the metrics to every case's line, by vectors or by an approach of one's own.
 
-    ``mapping_set_texts`` of ``schemaloom.sources.writers`` gives each case's suggestions as a mapping set.
+    Suggestions are computed once and written to the shared folder; metrics, lines and mapping sets
+    are read from there. A case fails if its known mapping cannot be read, if no dialect takes one of
+    its models, or if a ``CaseApproach`` raises. With ``on_error="rows"`` such cases are the rows of
+    ``failures`` (test_id, stage, error), have no metrics, and their lines have null for these; with
+    ``"raise"`` an error tells of them after all other cases are done and carries their results.
+    ``mapping_sets`` names a folder for a mapping set of each case that did not fail. It is written
+    before an error is raised.
     """
-    suggested = suggest_by(cases, approach, **options) if approach else suggest_all(cases, embedder, **options)
-    scored = m.case_metrics(suggested, expected_mappings(cases), cases)
-    return Evaluation(suggested, scored, with_metrics(cases, scored, column=column))
+    if on_error not in ("raise", "rows"):
+        raise ValueError("on_error must be 'raise' or 'rows'")
+    path = workspace(cases.sparkSession, "evaluation")
+    if isinstance(approach, CaseApproach):
+        found = suggest_cases(cases, approach, **options)
+    else:
+        found = (suggest_by(cases, approach, **options) if approach else suggest_all(cases, embedder, **options)).withColumn("error", F.lit(None).cast("string"))
+    found = written(found, f"{path}/found")
+    known = written(mapping_results(cases), f"{path}/known")
+    formats = {side: options.get(f"{side}_format", "unknown") for side in ("source", "target")}
+    faults = [
+        known.where("error IS NOT NULL").select("test_id", F.lit("mapping").alias("stage"), "error"),
+        found.where("error IS NOT NULL").select("test_id", F.lit("match").alias("stage"), "error"),
+        *[_not_parsed(cases, side, format) for side, format in formats.items()],
+    ]
+    failures = written(reduce(DataFrame.unionByName, faults), f"{path}/failures")
+    failed = failures.select("test_id").distinct()
+    suggested = found.where("error IS NULL").drop("error").join(failed, "test_id", "left_anti")
+    good = cases.join(failed, "test_id", "left_anti")
+    scored = m.case_metrics(suggested, known.where("error IS NULL").drop("error").join(failed, "test_id", "left_anti"), good)
+    done = Evaluation(suggested, scored, with_metrics(cases, scored, column=column), failures)
+    if mapping_sets:
+        write_mapping_sets(suggested, mapping_sets, cases=good)
+    if on_error == "raise":
+        some = failures.orderBy("test_id", "stage").limit(5).collect()
+        if some:
+            raise CasesFailed(f"{failed.count()} cases failed, such as " + "; ".join(f"{r.test_id} ({r.stage}): {r.error}" for r in some), done)
+    return done
+
+
+def _not_parsed(cases: DataFrame, side: str, format: str | Callable[[DataFrame], Models]) -> DataFrame:
+    """A failure for each case whose model no dialect takes."""
+    if side == "source":
+        own = cases.select("test_id", F.col("test_id").alias("model_id"), F.col("source_model").alias("json"))
+    else:
+        own = cases.select("test_id", F.col("target_key").alias("model_id"), F.col("target_model").alias("json"))
+    models = own.groupBy("model_id").agg(F.first("json").alias("json"))
+    bad = _parsed(models, format).valid.where("NOT coalesce(valid, false)").select("model_id")
+    return own.join(bad, "model_id", "left_semi").select("test_id", F.lit(f"{side} model").alias("stage"), F.lit("no dialect takes the model").alias("error"))
 
 
 def still_to_do(cases: DataFrame, finished: DataFrame) -> DataFrame:
