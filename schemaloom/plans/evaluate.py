@@ -18,7 +18,7 @@ from schemaloom.operators import metrics as m
 from schemaloom.operators.joins import finished_anti
 from schemaloom.operators.approach import Approach, CaseApproach
 from schemaloom.operators.models import Models, documents, parse
-from schemaloom.operators.search import _best, _unit
+from schemaloom.operators.search import _best, _rank, _unit
 from schemaloom.sources.named_files import write_mapping_sets
 from schemaloom.sources.readers import mapping_results
 from schemaloom.sources.writers import with_metrics
@@ -129,15 +129,19 @@ def suggest_cases(cases: DataFrame, approach: CaseApproach, k: int = 10, thresho
 
     def one(source: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
         found = approach.match(source[["node_name", "property_name", "property_type", "property_description", "npd"]].copy(), target[["text"]].copy())
-        told = pd.DataFrame({"s": found["source"].astype("int64"), "t": found["target"].astype("int64"), "similarity": pd.to_numeric(found["similarity"]).astype("float64")})
-        if len(told) and not (told["s"].between(0, len(source) - 1).all() and told["t"].between(0, len(target) - 1).all()):
+        i, j = found["source"].to_numpy(np.int64), found["target"].to_numpy(np.int64)
+        score = pd.to_numeric(found["similarity"]).to_numpy(np.float64)
+        if len(i) and not (0 <= i.min() and i.max() < len(source) and 0 <= j.min() and j.max() < len(target)):
             raise ValueError("the approach gives rows that are not there")
-        told = told[np.isfinite(told["similarity"]) & ((threshold is None) | (told["similarity"] >= (threshold or 0.0)))]
-        told = told.sort_values(["s", "similarity", "t"], ascending=[True, False, True], kind="stable").drop_duplicates(["s", "t"])
-        told["rk"] = told.groupby("s").cumcount() + 1
-        told = told[told["rk"] <= k]
-        out = source.iloc[told["s"]][SOURCE_COLUMNS].reset_index(drop=True)
-        return out.assign(text=target["text"].to_numpy()[told["t"]], similarity=told["similarity"].to_numpy(), rk=told["rk"].to_numpy(), error=None)
+        order = np.lexsort((-score, j, i))  # of a repeated pair the best score
+        order = order[np.isfinite(score[order])]
+        order = order[np.r_[True, (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)][: len(order)]]
+        order = order[score[order] >= (-np.inf if threshold is None else threshold)]
+        order = order[np.lexsort((j[order], -score[order], i[order]))]
+        rank = _rank(i[order]) + 1
+        order, rank = order[rank <= k], rank[rank <= k]
+        own = {c: source[c].to_numpy()[i[order]] for c in SOURCE_COLUMNS}
+        return pd.DataFrame({**own, "text": target["text"].to_numpy()[j[order]], "similarity": score[order], "rk": rank, "error": None})
 
     def search(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         target = t.sort_values("target_ord").reset_index(drop=True)
@@ -151,8 +155,11 @@ def suggest_cases(cases: DataFrame, approach: CaseApproach, k: int = 10, thresho
         return together.where(together.notna(), None)
 
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in SOURCE_COLUMNS), "text string", "similarity double", "rk int", "error string"])
-    grouped = dealt.select("target_key", "salt", *SOURCE_COLUMNS, "npd").groupBy("target_key", "salt")
-    found = grouped.cogroup(salted.groupBy("target_key", "salt")).applyInPandas(search, schema)
+    # a number of partitions that is kept: the rows are small beside the work that an approach has with them
+    spark, keys = cases.sparkSession, ["target_key", "salt"]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    left = dealt.select(*keys, *SOURCE_COLUMNS, "npd").repartition(n, *keys)
+    found = left.groupBy(*keys).cogroup(salted.repartition(n, *keys).groupBy(*keys)).applyInPandas(search, schema)
     return _told(found, "error")
 
 
