@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from schemaloom.functions.scratch import workspace, written
 from schemaloom.functions.text import py_strip, typed_number
 
 # Cells that count as missing where a table is read from text.
@@ -31,6 +32,28 @@ def value_counts(rows: DataFrame, keys: list[str], value: str, ordinal: str | No
     return counted.withColumn("rk", F.row_number().over(order)).drop("first")
 
 
+def ranked_counts(rows: DataFrame, keys: list[str], value: str, ordinal: str | None = None) -> DataFrame:
+    """The rows of ``value_counts`` for keys with any number of distinct values: no task holds all of one key.
+
+    The counts are sorted over ranges and written to the shared folder; a row's rank is its place in
+    its range plus the number of the key's rows in earlier ranges, of which there are few.
+    """
+    spark = rows.sparkSession
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), (F.min(ordinal) if ordinal else F.lit(0)).alias("first"))
+    order = [F.desc("n"), "first", value]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    ranged = counted.repartitionByRange(parts, *keys, *order).withColumn("__part", F.spark_partition_id())
+    ranged = written(ranged, workspace(spark, "ranks"))  # the ranges are of a sample, and must not be drawn anew
+    sizes = ranged.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    place = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
+    return ranged.withColumn("__place", place).join(offsets, same).select(*keys, value, "n", (F.col("__before") + F.col("__place")).alias("rk"))
+
+
 def histogram(rows: DataFrame, keys: list[str], value: str, bins: int = 5) -> DataFrame:
     """Counts in ``bins`` ranges of equal width between a key's smallest and largest value; the last one is closed.
 
@@ -77,17 +100,39 @@ def py_name(column: str) -> str:
     return column.strip().replace("\t", "")
 
 
+def _values(long: DataFrame, keys: list[str], delimiters: tuple[str, ...]) -> DataFrame:
+    """The parts of all cells as numbers or strings."""
+    values = long.where(F.col("cell").isNotNull()).select(*keys, F.explode(split_values(F.col("cell"), list(delimiters))).alias("text"))
+    return values.withColumn("number", typed_number(F.col("text"))).withColumn("string", F.when(F.col("number").isNull(), F.col("text")))
+
+
+def profile_bins(rows: DataFrame, columns: list[str] | None = None, keep: list[str] | None = None, bins: int = 5, delimiters: tuple[str, ...] = (";", "|")) -> DataFrame:
+    """The bins of ``column_profile`` as rows, for columns with any number of distinct strings.
+
+    Returns kept columns, column_ord, column_name, kind (``number``, ``string`` or ``null``), place
+    (from 1, by kind), label and n. No row or task holds all strings of a column.
+    """
+    keys = [*(keep or []), "column_ord", "column_name"]
+    long = cells(rows, columns, keep)
+    values = _values(long, keys, delimiters)
+    bigint = lambda c: F.col(c).cast("bigint")
+    numbers = histogram(values, keys, "number", bins).select(*keys, F.lit("number").alias("kind"), bigint("bin").alias("place"), bin_label(F.col("low"), F.col("high")).alias("label"), bigint("n").alias("n"))
+    strings = ranked_counts(values, keys, "string").select(*keys, F.lit("string").alias("kind"), bigint("rk").alias("place"), F.col("string").alias("label"), "n")
+    nulls = long.where(F.col("cell").isNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return numbers.unionByName(strings).unionByName(nulls.select(*keys, F.lit("null").alias("kind"), F.lit(1).cast("bigint").alias("place"), F.lit("NA").alias("label"), "n"))
+
+
 def column_profile(rows: DataFrame, columns: list[str] | None = None, keep: list[str] | None = None, bins: int = 5, delimiters: tuple[str, ...] = (";", "|")) -> DataFrame:
     """For each column: kind, numbers of values, the distinct strings by frequency, and the histogram.
 
     Bins are those of the numbers, then the strings with their counts, then ``NA`` with the nulls
     where there are any. One pass makes the long form; each measure is a grouped aggregate of it.
+    A column is one row with all its distinct strings, as a model has them; ``profile_bins`` has a row for each.
     """
     keys = [*(keep or []), "column_ord", "column_name"]
     long = cells(rows, columns, keep)
     nulls = long.groupBy(*keys).agg(F.count_if(F.col("cell").isNull()).alias("n_null"), F.count(F.lit(1)).alias("n_rows"))
-    values = long.where(F.col("cell").isNotNull()).select(*keys, F.explode(split_values(F.col("cell"), list(delimiters))).alias("text"))
-    values = values.withColumn("number", typed_number(F.col("text"))).withColumn("string", F.when(F.col("number").isNull(), F.col("text")))
+    values = _values(long, keys, delimiters)
     kinds = values.groupBy(*keys).agg(F.count("number").alias("n_numbers"), F.count("string").alias("n_strings"))
     strings = value_counts(values, keys, "string").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rk", "string", "n"))).alias("strings"))
     numbers = histogram(values, keys, "number", bins).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", bin_label(F.col("low"), F.col("high")).alias("label"), "n"))).alias("numbers"))
