@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -133,6 +134,40 @@ def test_two_documents_replace_the_smallest():
     assert first == [20, 60] and n == 2
 
 
+def best_two_fit(lengths, capacity):
+    """Sequences of lengths by the method, one document after another."""
+    left, sequences = Counter(lengths), []
+    while left:
+        own, gap = [], capacity
+        while fit := [x for x in left if x <= gap]:
+            own.append(max(fit))
+            gap -= own[-1]
+            left -= Counter(own[-1:])
+        while gap and len(own) > 1:
+            smallest, room = min(own), gap + min(own)
+            pairs = [(a, b) for a in left for b in left if a <= b and (a < b or left[a] > 1) and smallest < a + b <= room]
+            if not pairs:
+                break
+            two = max(pairs, key=lambda p: (sum(p), -p[0]))
+            own.remove(smallest)
+            own += two
+            left = left - Counter(two) + Counter([smallest])
+            gap = room - sum(two)
+        sequences.append(own)
+    return sequences
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_the_plan_needs_as_many_sequences_as_packing_one_by_one(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([20, 50, 128])
+    if seed % 2:
+        lengths = [rng.randint(1, capacity) for _ in range(rng.randint(1, 120))]
+    else:
+        lengths = [min(capacity, 1 + int(rng.expovariate(6 / capacity))) for _ in range(150)]
+    assert P.plan_bins(dict(Counter(lengths)), capacity)[1] == len(best_two_fit(lengths, capacity))
+
+
 def test_packing_is_near_the_lower_bound():
     rng = random.Random(2)
     counts = {}
