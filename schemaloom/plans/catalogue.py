@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.functions import text as tx
-from schemaloom.functions.embed import LexicalEmbedder, embedded
+from schemaloom.functions.embed import LexicalEmbedder
 from schemaloom.functions.vectors import l2_normalise, mean_pool
 from schemaloom.operators import approach, joins, metrics, models, profile, sets, training
-from schemaloom.operators.search import top_k
+from schemaloom.operators.search import top_k, top_k_texts
 from schemaloom.plans.registry import ORACLE_SQL, QUERIES, register, table
 from schemaloom.sources import readers, writers
 from schemaloom.streaming.landing import event_counts
@@ -96,8 +96,8 @@ def mean_pool_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def lexical_embed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated query set of part lines against all part lines, by the default embedder."""
-    lines = _part_lines(spark, sf_dir).select(F.col("p_partkey").alias("id"), embedded(F.col("line"), LexicalEmbedder()).alias("vector"))
-    return top_k(lines.where("id % 20 = 0"), lines, 5, 0.0, skip_self=True).withColumn("similarity", F.round("similarity", 6))
+    lines = _part_lines(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.col("line").alias("text"))
+    return top_k_texts(lines.where("id % 20 = 0"), lines, LexicalEmbedder(), 5, 0.0, skip_self=True).withColumn("similarity", F.round("similarity", 6))
 
 
 # lines

@@ -75,3 +75,38 @@ def test_store_is_keyed_by_content(spark, tmp_path):
 
 def test_batches(spark):
     assert [r.batch for r in batches(spark.range(5), "id", 2).orderBy("id").collect()] == [0, 0, 1, 1, 2]
+
+
+@pytest.mark.parametrize("strategy", ["auto", "blocks"])
+def test_texts_are_searched_once_and_give_the_rows_of_all_pairs(spark, strategy):
+    import random
+
+    from schemaloom.functions.embed import LetterEmbedder, embedded
+    from schemaloom.operators.search import top_k_texts
+
+    told = random.Random(3)
+    texts = [None, "", "..", *("".join(told.choice("abc") for _ in range(told.randrange(1, 4))) for _ in range(25))]
+    rows = spark.createDataFrame([(i if i % 29 else None, told.choice(texts)) for i in range(400)], "id bigint, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counted(LetterEmbedder):
+        def embed_documents(self, texts):
+            seen.add(len(texts))
+            return LetterEmbedder().embed_documents(texts)
+
+    vectors = rows.withColumn("vector", embedded(F.col("text"), LetterEmbedder()))
+    for skip, k, threshold in ((True, 3, None), (False, 7, 0.5), (True, 50, 0.0)):
+        want = top_k(vectors.where("id % 3 = 0"), vectors, k, threshold, skip_self=skip).collect()
+        before = seen.value
+        got = top_k_texts(rows.where("id % 3 = 0"), rows, Counted(), k, threshold, skip_self=skip, strategy=strategy)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want)
+        assert seen.value - before == len({x or "" for x in texts} & {r.text or "" for r in rows.where("id IS NOT NULL").collect()})
+
+
+def test_blocks_of_queries_and_tiles_of_targets(spark, monkeypatch):
+    from schemaloom.operators import search
+
+    rows = spark.range(300).selectExpr("id", "array(sin(id), cos(id * 3), sin(id * 7) + 0.1) AS vector").repartition(7)
+    want = sorted(map(tuple, top_k(rows, rows, 4, skip_self=True, strategy="matrix").collect()))
+    monkeypatch.setattr(search, "MAX_BROADCAST", 300 * 24 // 3)
+    assert sorted(map(tuple, top_k(rows, rows, 4, skip_self=True, strategy="blocks").collect())) == want and len(want) == 1200
