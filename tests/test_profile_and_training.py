@@ -96,8 +96,8 @@ def test_splits(spark):
 
 def test_triplets_of_one_large_model_are_dealt_to_tasks(spark, monkeypatch):
     monkeypatch.setattr(T, "TRIPLET_ROWS", 50)
-    lines = spark.range(600).selectExpr("concat('t', id * 0) AS test_id", "0 AS node_ord", "id AS prop_ord", "IF(id = 9, NULL, 'n') AS node", "cast(id % 300 AS string) AS property", "IF(id = 5, NULL, concat('l, \"', id)) AS line")
-    pairs = spark.range(300).coalesce(1).selectExpr("concat('t', id * 0) AS test_id", "concat('a', id) AS anchor", "'n' AS node", "cast(id AS string) AS property", "'p' AS positive")
+    lines = spark.range(600).selectExpr("'t' AS test_id", "0 AS node_ord", "id AS prop_ord", "IF(id = 9, NULL, 'n') AS node", "cast(id % 300 AS string) AS property", "IF(id = 5, NULL, concat('l, \"', id)) AS line")
+    pairs = spark.range(300).coalesce(1).selectExpr("'t' AS test_id", "concat('a', id) AS anchor", "'n' AS node", "cast(id AS string) AS property", "'p' AS positive")
     found = T.triplets(pairs, lines)
     rows = found.withColumn("p", F.spark_partition_id()).collect()
     assert len(rows) == 300 and len({r.p for r in rows}) > 1
