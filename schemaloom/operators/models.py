@@ -37,11 +37,26 @@ class Models:
 
 
 def _object(json: Column) -> Column:
-    return F.when(F.startswith(F.ltrim(json), F.lit("{")), F.from_json(json, _MAP))
+    return let(json, lambda own: F.when(F.startswith(F.ltrim(own), F.lit("{")), F.from_json(own, _MAP)))
 
 
 def _array(json: Column) -> Column:
-    return F.when(F.startswith(F.ltrim(json), F.lit("[")), F.from_json(json, _LIST))
+    return let(json, lambda own: F.when(F.startswith(F.ltrim(own), F.lit("[")), F.from_json(own, _LIST)))
+
+
+def _dealt(models: DataFrame) -> DataFrame:
+    """Models over a number of tasks that is kept: a table that is small, and lies in one file, is much to parse."""
+    spark = models.sparkSession
+    return models.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "model_id")
+
+
+def _bound(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is computed once a row, however many expressions and conditions use it.
+
+    Spark writes a plain column's expression out wherever a condition uses the column, so that JSON
+    would be parsed as often; it does not do so with a generated one.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
 def _entries(json: Column) -> Column:
@@ -125,8 +140,9 @@ def _no_text() -> Column:
 
 def parse_simple(models: DataFrame, ignore_endings: list[str] | None = None) -> Models:
     """``{"nodes": [{"name", "description", "links", "properties": [...]}]}``."""
+    models = _dealt(models)
     listed = _array(_last(_object(F.col("json")), "nodes"))
-    each = models.select("model_id", F.posexplode(listed).alias("node_ord", "raw")).withColumn("m", _object(F.col("raw")))
+    each = _bound(models.select("model_id", F.posexplode(listed).alias("node_ord", "raw")), "m", _object(F.col("raw")))
     links = F.when(_has(F.col("m"), "links"), _array(_field(F.col("m"), "links"))).otherwise(F.array().cast(_LIST))
     nodes = each.select(
         "model_id",
@@ -137,7 +153,7 @@ def parse_simple(models: DataFrame, ignore_endings: list[str] | None = None) ->
         _no_text().alias("node_metadata"),
         _array(_given(F.col("m"), "properties")).alias("list"),
     )
-    rows = nodes.select("*", F.posexplode_outer("list").alias("prop_ord", "p")).withColumn("pm", _object(F.col("p")))
+    rows = _bound(nodes.select("*", F.posexplode_outer("list").alias("prop_ord", "p")), "pm", _object(F.col("p")))
     rows = rows.withColumn("t", _field(F.col("pm"), "type"))
     type_, is_list = _typed(F.col("t"))
     rows = rows.select(
@@ -155,7 +171,8 @@ def parse_simple(models: DataFrame, ignore_endings: list[str] | None = None) ->
 
 def _entry_nodes(models: DataFrame, json: Column) -> DataFrame:
     each = models.select("model_id", F.explode(_entries(json)).alias("e"))
-    return each.select("model_id", F.col("e.ord").alias("node_ord"), F.col("e.key").alias("node_name"), _object(F.col("e.value")).alias("m"), F.col("e.value").alias("raw"))
+    named = each.select("model_id", F.col("e.ord").alias("node_ord"), F.col("e.key").alias("node_name"), F.col("e.value").alias("raw"))
+    return _bound(named, "m", _object(F.col("raw")))
 
 
 def _link_names(raw: Column) -> Column:
@@ -177,6 +194,7 @@ def parse_dictionary(models: DataFrame, ignore_endings: list[str] | None = None)
     goes to the metadata. A node without description makes the model invalid.
     """
     ignore = ignore_endings or []
+    models = _dealt(models)
     each = _entry_nodes(models, F.col("json")).where(~F.col("node_name").isin(SKIPPED_ENTRIES))
     links_raw = _given(F.col("m"), "links")
     direct = F.coalesce(_link_names(links_raw), F.array().cast(_LIST))
@@ -190,9 +208,10 @@ def parse_dictionary(models: DataFrame, ignore_endings: list[str] | None = None)
         _no_text().alias("node_metadata"),
         _entries(_field(F.col("m"), "properties", "{}")).alias("entries"),
     )
-    raw = _exploded(nodes, F.col("entries")).withColumn("pm", _object(F.col("e.value")))
+    raw = _exploded(nodes, F.col("entries"))
     if ignore:  # an ignored property takes what it links to along
         raw = raw.where(F.col("e").isNull() | ~ends_with_any(F.col("e.key"), ignore))
+    raw = _bound(raw, "pm", _object(F.col("e.value")))
     linked = _has(F.col("pm"), "anyOf")
     kept = ["model_id", "node_ord", "node_name", "node_description", "links", "node_metadata"]
     plain = raw.where(~linked).select(*kept, F.col("e.ord").alias("at"), F.lit(0).alias("at2"), F.lit(0).alias("at3"), F.col("e.key").alias("property_name"), "pm", (F.col("e").isNotNull() & F.col("pm").isNull()).alias("broken"))
@@ -202,7 +221,7 @@ def parse_dictionary(models: DataFrame, ignore_endings: list[str] | None = None)
     expanded = subs.select(*kept, F.col("e.ord").alias("at"), "at2", F.col("s.ord").alias("at3"), F.concat(singular(F.col("e.key")), F.lit("."), F.col("s.key")).alias("property_name"), _object(F.col("s.value")).alias("pm"), F.lit(False).alias("broken"))
     bare = raw.where(linked).select(*kept, F.lit(None).cast("int").alias("at"), F.lit(0).alias("at2"), F.lit(0).alias("at3"), F.lit(None).cast("string").alias("property_name"), F.lit(None).cast(_MAP).alias("pm"), F.lit(False).alias("broken"))
     rows = plain.unionByName(expanded).unionByName(bare)
-    rows = rows.withColumn("term", _object(_given(F.col("pm"), "term")))
+    rows = _bound(rows, "term", _object(_given(F.col("pm"), "term")))
     pm, term = F.col("pm"), F.col("term")
     rows = rows.withColumn("t", _field(pm, "type"))
     type_, is_list = _typed(F.col("t"))
@@ -229,6 +248,7 @@ def parse_prefixed(models: DataFrame) -> Models:
 
     A node whose links are an object with ``subgroup`` makes the model invalid, as it always has.
     """
+    models = _dealt(models)
     each = _entry_nodes(models, F.col("json")).where(~F.startswith("node_name", F.lit("_")))
     links_raw = _given(F.col("m"), "links")
     nodes = each.select(
@@ -241,7 +261,7 @@ def parse_prefixed(models: DataFrame) -> Models:
         _entries(_field(F.col("m"), "properties", "{}")).alias("entries"),
         (F.col("m").isNull() | _has(_object(links_raw), "subgroup")).alias("broken_node"),
     )
-    rows = nodes.select("*", F.explode_outer("entries").alias("e")).withColumn("pm", _object(F.col("e.value")))
+    rows = _bound(nodes.select("*", F.explode_outer("entries").alias("e")), "pm", _object(F.col("e.value")))
     rows = rows.withColumn("t", _field(F.col("pm"), "type"))
     type_, is_list = _typed(F.col("t"))
     rows = rows.select(
@@ -267,6 +287,7 @@ def parse_linked(models: DataFrame, ignore_endings: list[str] | None = None) ->
 
     A node without description makes the model invalid.
     """
+    models = _dealt(models)
     defs = _last(_object(F.col("json")), "$defs")
     each = _entry_nodes(models, defs)
     nodes = each.select(
@@ -278,7 +299,7 @@ def parse_linked(models: DataFrame, ignore_endings: list[str] | None = None) ->
         _without(F.col("m"), "properties", "description").alias("node_metadata"),
         _entries(_field(F.col("m"), "properties", "{}")).alias("entries"),
     )
-    rows = nodes.select("*", F.explode_outer("entries").alias("e")).withColumn("pm", _object(F.col("e.value")))
+    rows = _bound(nodes.select("*", F.explode_outer("entries").alias("e")), "pm", _object(F.col("e.value")))
     rows = rows.withColumn("t", _field(F.col("pm"), "type"))
     type_, is_list = _typed(F.col("t"))
     rows = rows.select(
@@ -359,10 +380,11 @@ def line_lookup(models: Models) -> DataFrame:
 
 def as_keyed(models: DataFrame) -> DataFrame:
     """A simple model with its properties keyed by name: model_id, node_name, properties (name to JSON), the last duplicate wins."""
+    models = _dealt(models)
     listed = _array(_last(_object(F.col("json")), "nodes"))
-    each = models.select("model_id", F.posexplode(listed).alias("node_ord", "raw")).withColumn("m", _object(F.col("raw")))
+    each = _bound(models.select("model_id", F.posexplode(listed).alias("node_ord", "raw")), "m", _object(F.col("raw")))
     props = each.select("model_id", "node_ord", _name(F.col("m")).alias("node_name"), F.posexplode(_array(_field(F.col("m"), "properties"))).alias("prop_ord", "p"))
-    named = props.select("model_id", "node_ord", "node_name", "prop_ord", _name(_object(F.col("p"))).alias("name"), "p")
+    named = _bound(props, "pm", _object(F.col("p"))).select("model_id", "node_ord", "node_name", "prop_ord", _name(F.col("pm")).alias("name"), "p")
     last = named.groupBy("model_id", "node_ord", "node_name", "name").agg(F.max_by("p", "prop_ord").alias("p"), F.min("prop_ord").alias("at"))
     return last.groupBy("model_id", "node_ord", "node_name").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("at", "name", "p"))), lambda x: F.struct(x["name"], x["p"]))).alias("properties"))
 
@@ -372,9 +394,10 @@ def spread_properties(models: DataFrame, most: int = 1000) -> DataFrame:
 
     The distinct keys are the schema, so there may be at most ``most`` of them.
     """
+    models = _dealt(models)
     listed = _array(_last(_object(F.col("json")), "nodes"))
-    each = models.select("model_id", F.posexplode(listed).alias("node_ord", "raw")).withColumn("m", _object(F.col("raw")))
-    props = each.select("model_id", "node_ord", _name(F.col("m")).alias("node"), F.posexplode(_array(_given(F.col("m"), "properties"))).alias("prop_ord", "p")).withColumn("pm", _object(F.col("p")))
+    each = _bound(models.select("model_id", F.posexplode(listed).alias("node_ord", "raw")), "m", _object(F.col("raw")))
+    props = _bound(each.select("model_id", "node_ord", _name(F.col("m")).alias("node"), F.posexplode(_array(_given(F.col("m"), "properties"))).alias("prop_ord", "p")), "pm", _object(F.col("p")))
     keys = sorted(r.k for r in props.select(F.explode(F.map_keys("pm")).alias("k")).distinct().limit(most + 1).collect())
     if len(keys) > most:
         raise ValueError(f"more than {most} keys")

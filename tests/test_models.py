@@ -118,3 +118,13 @@ def test_empty_table(spark):
     for format in ("simple", "dictionary", "prefixed", "linked", "unknown"):
         found = M.parse(frame(spark, SIMPLE).limit(0), format)
         assert found.properties.count() == found.nodes.count() == found.valid.count() == 0
+
+
+def test_models_of_one_partition_are_parsed_by_many_tasks_and_json_once(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(400).coalesce(1).selectExpr("id AS model_id", """concat('{"nodes":[{"name":"n","description":"d","properties":[{"name":"p', id, '","type":"t"}]}]}') AS json""")
+    found = M.parse_simple(rows).properties
+    told = found.withColumn("part", F.spark_partition_id()).collect()
+    assert len(told) == 400 and len({r.part for r in told}) > 1 and {r.npd for r in told} == {f"n.p{i} (t): " for i in range(400)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 16  # each document, list and property, for the rows and for the bad ones; they were 27
