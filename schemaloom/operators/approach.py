@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,26 @@ class CaseApproach(ABC):
         ``target``: text, its line. Both are in the models' order. An exception fails this case alone.
         """
 
+    def match_cases(self, source: pd.DataFrame, target: pd.DataFrame, cases: list[tuple[tuple[int, int], tuple[int, int]]]) -> tuple[pd.DataFrame, dict[int, Exception]]:
+        """Many cases at once: the rows of ``match``, by row numbers in the frames of all cases, and the fault of each case (by its number) that failed.
+
+        ``cases``: for each case its rows in ``source`` and those in ``target``, as first and the one after
+        the last. This calls ``match`` for each; an approach that can do many small cases in a few
+        array operations may do so here, with the same results.
+        """
+        found, faults = [], {}
+        for c, ((a, b), (t, u)) in enumerate(cases):
+            try:
+                one = self.match(source.iloc[a:b].reset_index(drop=True), target.iloc[t:u].reset_index(drop=True))
+                i, j = one["source"].to_numpy("int64"), one["target"].to_numpy("int64")
+                if len(i) and not (0 <= i.min() and i.max() < b - a and 0 <= j.min() and j.max() < u - t):
+                    raise ValueError("the approach gives rows that are not there")
+                found.append((i + a, j + t, pd.to_numeric(one["similarity"]).to_numpy("float64")))
+            except Exception as fault:  # whatever an approach of one's own may raise is told in the case's row
+                faults[c] = fault
+        columns = zip(*found, strict=True) if found else ([], [], [])
+        return pd.DataFrame({n: np.concatenate([*x, np.zeros(0, kind)]) for n, x, kind in zip(("source", "target", "similarity"), columns, ("int64", "int64", "float64"), strict=True)}), faults
+
 
 class ExampleApproach(Approach):
     """Two fixed suggestions, whatever the models: a test double."""

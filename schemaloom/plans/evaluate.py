@@ -25,6 +25,8 @@ from schemaloom.sources.writers import with_metrics
 
 #: Source properties that one task compares with a target's; a popular target's are dealt to as many tasks as that takes.
 PART_ROWS = 4096
+#: Source properties, about, that one call of pandas gets: those of many small targets together.
+BUCKET_ROWS = 20_000
 
 SOURCE_COLUMNS = ["test_id", "node_ord", "prop_ord", "node_name", "property_name", "property_type", "property_description"]
 
@@ -121,18 +123,21 @@ def suggest_cases(cases: DataFrame, approach: CaseApproach, k: int = 10, thresho
     ``cases``: test_id, source_model, target_model, target_key.
     """
     props, lines = _sides(cases, source_format, target_format)
-    sized = props.groupBy("target_key").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("parts"))
-    dealt = props.join(sized, "target_key").withColumn("salt", F.pmod(F.xxhash64("test_id"), F.col("parts")))
-    salted = lines.join(sized, "target_key").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+    spark = cases.sparkSession
+    # a number of partitions that is kept: the rows are small beside the work that an approach has with them
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    sized = written(props.groupBy("target_key").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("parts"), F.count(F.lit(1)).alias("rows")), workspace(spark, "sizes"))
+    total = sized.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    buckets = max(n, -(-total // BUCKET_ROWS))  # a group holds many small targets, so that its cost is shared
+    bucket = F.pmod(F.xxhash64("target_key", "salt"), F.lit(buckets)).cast("int").alias("bucket")
+    dealt = props.join(sized.drop("rows"), "target_key").withColumn("salt", F.pmod(F.xxhash64("test_id"), F.col("parts")))
+    salted = lines.join(sized.drop("rows"), "target_key").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     kinds = {f.name: f.dataType.simpleString() for f in props.schema}
     names = [*SOURCE_COLUMNS, "text", "similarity", "rk", "error"]
 
-    def one(source: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
-        found = approach.match(source[["node_name", "property_name", "property_type", "property_description", "npd"]].copy(), target[["text"]].copy())
+    def best(source: pd.DataFrame, target: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         i, j = found["source"].to_numpy(np.int64), found["target"].to_numpy(np.int64)
         score = pd.to_numeric(found["similarity"]).to_numpy(np.float64)
-        if len(i) and not (0 <= i.min() and i.max() < len(source) and 0 <= j.min() and j.max() < len(target)):
-            raise ValueError("the approach gives rows that are not there")
         order = np.lexsort((-score, j, i))  # of a repeated pair the best score
         order = order[np.isfinite(score[order])]
         order = order[np.r_[True, (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)][: len(order)]]
@@ -144,25 +149,41 @@ def suggest_cases(cases: DataFrame, approach: CaseApproach, k: int = 10, thresho
         return pd.DataFrame({**own, "text": target["text"].to_numpy()[j[order]], "similarity": score[order], "rk": rank, "error": None})
 
     def search(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        target = t.sort_values("target_ord").reset_index(drop=True)
-        out = [pd.DataFrame({n: pd.Series(dtype=object) for n in names})]
-        for test, source in q.groupby("test_id", sort=True) if len(target) else ():
-            try:
-                out.append(one(source.sort_values(["node_ord", "prop_ord"]).reset_index(drop=True), target)[names])
-            except Exception as fault:  # whatever an approach of one's own may raise is told in the case's row
-                out.append(pd.DataFrame([{"test_id": test, "error": f"{type(fault).__name__}: {fault}"[:500]}], columns=names))
-        together = pd.concat([o.astype(object) for o in out], ignore_index=True)
+        """The cases of a bucket, each against the lines of its target and part."""
+        nothing = pd.DataFrame({n: pd.Series(dtype=object) for n in names})
+        target = t.sort_values(["target_key", "salt", "target_ord"], ignore_index=True)
+        source = q.sort_values(["test_id", "target_key", "node_ord", "prop_ord"], ignore_index=True)
+        spans = _spans(target, ["target_key", "salt"])
+        cases = {key: (rows, spans[key[1:]]) for key, rows in _spans(source, ["test_id", "target_key", "salt"]).items() if key[1:] in spans}
+        if not cases:
+            return nothing
+        found, faults = approach.match_cases(source[["node_name", "property_name", "property_type", "property_description", "npd"]], target[["text"]], list(cases.values()))
+        bad = [{"test_id": key[0], "error": f"{type(faults[c]).__name__}: {faults[c]}"[:500]} for c, key in enumerate(cases) if c in faults]
+        out = [best(source, target, found)[names].astype(object), pd.DataFrame(bad, columns=names).astype(object)]
+        together = pd.concat([o for o in out if len(o)] or [nothing], ignore_index=True)
         return together.where(together.notna(), None)
 
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in SOURCE_COLUMNS), "text string", "similarity double", "rk int", "error string"])
-    # a number of partitions that is kept: the rows are small beside the work that an approach has with them
-    spark, keys = cases.sparkSession, ["target_key", "salt"]
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    left = dealt.select(*keys, *SOURCE_COLUMNS, "npd").repartition(n, *keys)
-    found = left.groupBy(*keys).cogroup(salted.repartition(n, *keys).groupBy(*keys)).applyInPandas(search, schema)
+    left = dealt.select(bucket, "target_key", "salt", *SOURCE_COLUMNS, "npd").repartition(n, "bucket")
+    right = salted.select(bucket, "target_key", "salt", "target_ord", "text").repartition(n, "bucket")
+    found = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(search, schema)
     return _told(found, "error")
 
 
+def _spans(rows: pd.DataFrame, keys: list[str]) -> dict[tuple, tuple[int, int]]:
+    """First row and the row after the last of each key, whose rows lie together."""
+    if not len(rows):
+        return {}
+    changed = np.zeros(len(rows), bool)
+    for key in keys:
+        codes = pd.factorize(rows[key], use_na_sentinel=False)[0]
+        changed[1:] |= codes[1:] != codes[:-1]
+    changed[0] = True
+    first = np.flatnonzero(changed)
+    named = zip(*(rows[key].to_numpy()[first].tolist() for key in keys), strict=True)
+    return dict(zip(named, zip(first.tolist(), [*first[1:].tolist(), len(rows)], strict=True), strict=True))
+
+
 def _parsed(models: DataFrame, format: str | Callable[[DataFrame], Models]) -> Models:
     """Models by a named dialect, or by a function of one's own from (model_id, json)."""
     return format(models) if callable(format) else parse(models, format)

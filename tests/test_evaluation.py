@@ -105,3 +105,34 @@ def test_suggestions_are_computed_once(spark):
     before = calls.value
     done.metrics.collect(), done.lines.collect(), done.suggestions.collect()
     assert calls.value == before > 0
+
+
+def test_many_small_cases_share_a_call_and_fail_alone(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from schemaloom.operators.approach import CaseApproach
+    from schemaloom.plans import evaluate
+
+    calls = spark.sparkContext.accumulator(0)
+
+    class Same(CaseApproach):
+        def match(self, source, target):
+            if "bad" in source["property_name"].tolist():
+                raise KeyError("bad")
+            return pd.DataFrame({"source": [0], "target": [len(target) - 1], "similarity": [0.5]})
+
+        def match_cases(self, source, target, cases):
+            calls.add(1)
+            return super().match_cases(source, target, cases)
+
+    import pandas as pd
+
+    model = lambda *names: json.dumps({"nodes": [{"name": "n", "description": "d", "properties": [{"name": x, "description": "", "type": "t"} for x in names]}]})
+    rows = [(i, model("bad" if i % 10 == 3 else f"p{i}"), model("x", f"t{i // 2}"), f"k{i // 2}") for i in range(200)]
+    cases = spark.createDataFrame(rows, "test_id bigint, source_model string, target_model string, target_key string")
+    got = {r.test_id: r for r in evaluate.suggest_cases(cases, Same(), source_format="simple", target_format="simple").collect()}
+    assert sorted(got) == list(range(200)) and calls.value <= 16
+    for i, r in got.items():
+        assert (r.error, r.target_property) == (("KeyError: 'bad'", None) if i % 10 == 3 else (None, f"t{i // 2}"))
