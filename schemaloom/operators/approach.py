@@ -6,7 +6,7 @@ from abc import ABC, abstractmethod
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from schemaloom.functions.embed import Embedder, LexicalEmbedder, VectorStore, embedded
@@ -89,7 +89,8 @@ class SimilarityApproach(Approach):
     """Nearest lines of the target by an embedder's vectors.
 
     A target may be several models, whose lines are searched together. Source texts are the rendered lines. The source's description is given raw; what is told of the
-    target is parsed back from its line. Sources without a match have no rows.
+    target is parsed back from its line. Sources without a match have no rows. Equal lines
+    of the source are embedded and searched once. With ``best=True`` only the best of the k targets of a property are given, all of them where they tie.
     """
 
     def __init__(self, embedder: Embedder | None = None, store: VectorStore | None = None, k: int = 4, threshold: float | None = None, strategy: str = "auto"):
@@ -106,10 +107,14 @@ class SimilarityApproach(Approach):
 
     def suggest(self, source: Models, target: Models, must_match: bool = False, force: bool = False, **options) -> DataFrame:
         targets = self._targets(target, force)
-        props = source.properties.withColumns({"id": F.monotonically_increasing_id(), "vector": embedded(F.col("npd"), self.embedder)})
-        props = written(props, workspace(props.sparkSession, "sources"))  # numbered and embedded once
+        spark = targets.sparkSession
+        props = source.properties.withColumn("__text", F.coalesce("npd", F.lit("")))
+        props = written(props, workspace(spark, "sources"))  # parsed once
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        lines = props.select("__text").distinct().repartition(n, "__text")
+        lines = written(lines.select("__text", F.monotonically_increasing_id().alias("id"), embedded(F.col("__text"), self.embedder).alias("vector")), workspace(spark, "lines"))  # numbered and embedded once
         found = top_k(
-            props.select("id", "vector"),
+            lines.select("id", "vector"),
             targets.select("id", "vector"),
             options.get("k", self.k),
             options.get("threshold", self.threshold),
@@ -117,26 +122,25 @@ class SimilarityApproach(Approach):
         )
         if must_match and found.isEmpty():
             raise NothingFound("no property of the source has a match")
+        if options.get("best"):
+            found = found.withColumn("__best", F.max("similarity").over(Window.partitionBy("source_id"))).where("similarity = __best").drop("__best")
         t = parse_line(F.col("text"))
         told = targets.select(F.col("id").alias("target_id"), t.alias("t"))
-        return (
-            found.join(props, found["source_id"] == props["id"])
-            .join(told, "target_id")
-            .select(
-                F.col("model_id").alias("test_id"),
-                "node_ord",
-                "prop_ord",
-                F.col("node_name").alias("source_node"),
-                F.col("property_name").alias("source_property"),
-                F.col("property_type").alias("source_type"),
-                F.col("property_description").alias("source_description"),
-                F.col("t.node").alias("target_node"),
-                F.col("t.property").alias("target_property"),
-                F.col("t.type").alias("target_type"),
-                F.col("t.description").alias("target_description"),
-                "similarity",
-                "rk",
-            )
+        of_line = found.join(told, "target_id").join(lines.select(F.col("id").alias("source_id"), "__text"), "source_id")
+        return of_line.join(props, "__text").select(
+            F.col("model_id").alias("test_id"),
+            "node_ord",
+            "prop_ord",
+            F.col("node_name").alias("source_node"),
+            F.col("property_name").alias("source_property"),
+            F.col("property_type").alias("source_type"),
+            F.col("property_description").alias("source_description"),
+            F.col("t.node").alias("target_node"),
+            F.col("t.property").alias("target_property"),
+            F.col("t.type").alias("target_type"),
+            F.col("t.description").alias("target_description"),
+            "similarity",
+            "rk",
         )
 
 

@@ -110,3 +110,22 @@ def test_blocks_of_queries_and_tiles_of_targets(spark, monkeypatch):
     want = sorted(map(tuple, top_k(rows, rows, 4, skip_self=True, strategy="matrix").collect()))
     monkeypatch.setattr(search, "MAX_BROADCAST", 300 * 24 // 3)
     assert sorted(map(tuple, top_k(rows, rows, 4, skip_self=True, strategy="blocks").collect())) == want and len(want) == 1200
+
+
+def test_equal_source_lines_are_embedded_once_and_only_the_best_are_given(spark):
+    from schemaloom.functions.embed import LetterEmbedder
+    from schemaloom.operators import approach, models
+
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counted(LetterEmbedder):
+        def embed_documents(self, texts):
+            seen.add(len(texts))
+            return LetterEmbedder().embed_documents(texts)
+
+    json = '{"nodes":[{"name":"n","description":"d","properties":[{"name":"ab","type":"t"},{"name":"ba","type":"t"},{"name":"zz","type":"t"}]}]}'
+    source = models.parse_simple(spark.range(50).selectExpr("id AS model_id", f"'{json}' AS json"))
+    target = models.parse_simple(spark.range(1).selectExpr("id AS model_id", f"'{json}' AS json"))
+    found = approach.SimilarityApproach(Counted(), k=3).suggest(source, target, best=True).collect()
+    assert seen.value == 6 and len(found) == 50 * 5  # ab and ba are each other's best too
+    assert {(r.source_property, r.target_property) for r in found} == {("ab", "ab"), ("ab", "ba"), ("ba", "ab"), ("ba", "ba"), ("zz", "zz")}
