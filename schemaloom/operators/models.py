@@ -7,13 +7,15 @@ dialect's rules reject has no rows; ``valid`` tells which ones those are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from schemaloom.functions.expr import let
+from schemaloom.functions.scratch import workspace, written
 from schemaloom.functions.text import ends_with_any, python_list, render_line
 
 # The entries of a dictionary that are no nodes.
@@ -316,12 +318,14 @@ def parse_linked(models: DataFrame, ignore_endings: list[str] | None = None) ->
     return _finish(models, rows, _object(defs).isNotNull(), ignore_endings or [])
 
 
-def _prefer(models: DataFrame, options: list[tuple[str, Models]]) -> Models:
-    """For each model the first option that is valid for it."""
+def _prefer(models: DataFrame, options: list[tuple[str, Callable[[DataFrame], Models]]]) -> Models:
+    """For each model the first option that is valid for it. Which one that is is found once and written; then only that one parses the model."""
     ranks = {name: i for i, (name, _) in enumerate(options)}
-    united = lambda part: reduce(DataFrame.unionByName, [getattr(o, part).withColumn("__rank", F.lit(ranks[n])) for n, o in options])
-    first = united("valid").where("valid").groupBy("model_id").agg(F.min("__rank").alias("__rank"))
-    nodes, properties = (united(part).join(first, ["model_id", "__rank"], "left_semi").drop("__rank") for part in ("nodes", "properties"))
+    fits = [by(models).valid.where("valid").select("model_id", F.lit(ranks[name]).alias("__rank")) for name, by in options]
+    first = reduce(DataFrame.unionByName, fits).groupBy("model_id").agg(F.min("__rank").alias("__rank"))
+    first = written(first, workspace(models.sparkSession, "dialects"))
+    chosen = [by(models.join(first.where(F.col("__rank") == ranks[name]), "model_id", "left_semi")) for name, by in options]
+    nodes, properties = (reduce(DataFrame.unionByName, [getattr(c, part) for c in chosen]) for part in ("nodes", "properties"))
     names = F.coalesce(*[F.when(F.col("__rank") == i, F.lit(n)) for n, i in ranks.items()])
     valid = models.select("model_id").join(first, "model_id", "left").select("model_id", F.col("__rank").isNotNull().alias("valid"), names.alias("chosen"))
     return Models(nodes, properties, valid)
@@ -334,7 +338,7 @@ def parse_unknown(models: DataFrame, ignore_endings: list[str] | None = None, de
     dictionaries are read as prefixed ones; ``first`` takes the first. Models that none accepts are
     not valid. ``linked`` is never tried.
     """
-    options = [("simple", parse_simple(models, ignore_endings)), ("dictionary", parse_dictionary(models, ignore_endings)), ("prefixed", parse_prefixed(models))]
+    options = [("simple", partial(parse_simple, ignore_endings=ignore_endings)), ("dictionary", partial(parse_dictionary, ignore_endings=ignore_endings)), ("prefixed", parse_prefixed)]
     if detect not in ("last", "first"):
         raise ValueError("detect must be 'last' or 'first'")
     return _prefer(models, options[::-1] if detect == "last" else options)

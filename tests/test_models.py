@@ -128,3 +128,11 @@ def test_models_of_one_partition_are_parsed_by_many_tasks_and_json_once(spark):
     told = found.withColumn("part", F.spark_partition_id()).collect()
     assert len(told) == 400 and len({r.part for r in told}) > 1 and {r.npd for r in told} == {f"n.p{i} (t): " for i in range(400)}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 16  # each document, list and property, for the rows and for the bad ones; they were 27
+
+
+def test_a_model_is_parsed_by_the_chosen_dialect_only(spark):
+    rows = spark.createDataFrame([(1, '{"nodes":[{"name":"n","description":"d","properties":[{"name":"p","type":"t"}]}]}'), (2, '{"a":{"description":"d","properties":{"q":{"type":"t"}}}}'), (3, "no")], "model_id bigint, json string")
+    found = M.parse_unknown(rows)
+    assert {(r.model_id, r.chosen) for r in found.valid.collect()} == {(1, "simple"), (2, "prefixed"), (3, None)}
+    assert {(r.model_id, r.property_name) for r in found.properties.collect()} == {(1, "p"), (2, "q")}
+    assert "dialects" in "".join(found.properties.inputFiles())  # which dialect it is was written once
