@@ -121,7 +121,8 @@ def _finish(models: DataFrame, rows: DataFrame, fits: Column, ignore: list[str])
     broken = F.col("node_name").isNull() | F.col("node_description").isNull() | F.col("broken") | (F.col("prop_ord").isNotNull() & required)
     marked = rows.withColumn("__bad", F.coalesce(broken, F.lit(True)))
     bad = marked.where("__bad").select("model_id").distinct()
-    ok = rows.join(bad.withColumnRenamed("model_id", "__id"), F.col("model_id").eqNullSafe(F.col("__id")), "left_anti")  # the ids of bad models are joined, so that the others' rows stay where they are if those are few
+    model = Window.partitionBy("model_id").orderBy("node_ord", "prop_ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ok = marked.withColumn("__bad", F.max("__bad").over(model)).where(~F.col("__bad"))  # a model's rows lie in one task since it was dealt, so they tell of each other without being parsed again or moved
     nodes = ok.where(F.coalesce("prop_ord", F.lit(0)) == 0).select("model_id", "node_ord", "node_name", "node_description", "links", "node_metadata").dropDuplicates(["model_id", "node_ord"])
     properties = ok.where(F.col("prop_ord").isNotNull())
     if ignore:

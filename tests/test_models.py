@@ -136,3 +136,21 @@ def test_a_model_is_parsed_by_the_chosen_dialect_only(spark):
     assert {(r.model_id, r.chosen) for r in found.valid.collect()} == {(1, "simple"), (2, "prefixed"), (3, None)}
     assert {(r.model_id, r.property_name) for r in found.properties.collect()} == {(1, "p"), (2, "q")}
     assert "dialects" in "".join(found.properties.inputFiles())  # which dialect it is was written once
+
+
+def test_a_models_rows_are_judged_in_the_pass_that_parses_them(spark):
+    jsons = [json.dumps(SIMPLE), '{"nodes":[{"name":"n","properties":[{"name":"p"}]},{"name":"m","properties":[{"name":"q","type":null}]}]}', '{"nodes":[{"name":"n","properties":[{"name":"p"}]}]}']
+    rows = spark.createDataFrame([(0, jsons[0]), (1, jsons[1]), (2, jsons[2]), (2, jsons[1]), (None, jsons[2])], "model_id bigint, json string")
+    found = M.parse_simple(rows)
+    assert {(r.model_id, r.property_name) for r in found.properties.collect()} == {(0, "p"), (0, "q"), (0, "visit_id"), (None, "p")}  # one bad node, or one bad text of an id, rejects all of it
+    assert {r.model_id for r in found.nodes.collect()} == {0, None}
+
+
+@pytest.mark.parametrize("view", [M.documents])
+def test_a_view_parses_each_model_once_and_moves_it_once(spark, view):
+    found = view(M.parse_simple(frame(spark, SIMPLE)))._jdf.queryExecution()
+    plan, steps = found.optimizedPlan().toString(), found.executedPlan().toString()
+    assert "Join" not in plan and plan.count("from_json") <= 8  # it was parsed again for the bad models, which were joined
+    assert steps.count("Exchange") == 1 and "REPARTITION_BY_NUM" in steps  # the deal of the models
+    if view is M.documents:
+        assert steps.count("Sort [") == 1  # judged and numbered in one order
