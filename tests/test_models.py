@@ -146,7 +146,7 @@ def test_a_models_rows_are_judged_in_the_pass_that_parses_them(spark):
     assert {r.model_id for r in found.nodes.collect()} == {0, None}
 
 
-@pytest.mark.parametrize("view", [M.documents, M.shape, M.property_lines])
+@pytest.mark.parametrize("view", [M.documents, M.shape, M.property_lines, M.line_lookup])
 def test_a_view_parses_each_model_once_and_moves_it_once(spark, view):
     found = view(M.parse_simple(frame(spark, SIMPLE)))._jdf.queryExecution()
     plan, steps = found.optimizedPlan().toString(), found.executedPlan().toString()
