@@ -104,3 +104,25 @@ def test_triplets_of_one_large_model_are_dealt_to_tasks(spark, monkeypatch):
     for r in rows:
         i = int(r.anchor[1:])
         assert json.loads(r.negatives) == [None if j == 5 else f'l; "{j}' for j in range(600) if j % 300 != i]
+
+
+def test_what_triplets_send_does_not_grow_with_the_rows_of_a_model(spark, monkeypatch):
+    monkeypatch.setattr(T, "TRIPLET_ROWS", 1)
+    lines = spark.range(1000).selectExpr("'t' AS test_id", "0 AS node_ord", "id AS prop_ord", "'n' AS node", "cast(id AS string) AS property", "sha2(cast(id AS string), 256) AS line")
+    pairs = lines.select("test_id", F.concat(F.lit("a"), "property").alias("anchor"), "node", "property", F.lit("p").alias("positive"))
+    sent = lambda: sum(e.totalShuffleWrite() for e in [told.apply(i) for told in [spark.sparkContext._jsc.sc().statusStore().executorList(True)] for i in range(told.size())])
+    before = sent()
+    found = T.triplets(pairs, lines).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("negatives")).alias("chars")).first()
+    assert (found.n, found.chars) == (1000, 1000 * (999 * 67 + 1))
+    assert sent() - before < 10_000_000  # the model's text of 67,000 bytes for each of 16 tasks, not for each of 1000 rows
+
+
+def test_triplets_cut_the_first_the_last_the_only_and_many_lines(spark):
+    lines = spark.createDataFrame([(1, i, k, f"l{i}") for i, k in enumerate("abca")] + [(2, 0, "a", "é,"), (3, 0, "a", "x"), (3, 1, "a", "y")], "test_id int, prop_ord int, property string, line string")
+    lines = lines.selectExpr("test_id", "0 AS node_ord", "prop_ord", "'n' AS node", "property", "line")
+    pairs = spark.createDataFrame([(1, k) for k in "abcd"] + [(2, "a"), (2, "b"), (3, "a"), (4, "a")], "test_id int, property string").selectExpr("test_id", "property AS anchor", "'n' AS node", "property", "'p' AS positive")
+    got = {(r.test_id, r.anchor): json.loads(r.negatives) for r in T.triplets(pairs, lines).collect()}
+    assert got == {
+        (1, "a"): ["l1", "l2"], (1, "b"): ["l0", "l2", "l3"], (1, "c"): ["l0", "l1", "l3"], (1, "d"): ["l0", "l1", "l2", "l3"],
+        (2, "a"): [], (2, "b"): ["é;"], (3, "a"): [], (4, "a"): [],
+    }
